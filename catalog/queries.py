@@ -31,7 +31,7 @@ from gradeloom.sources.splits import eval_split, ground_truth
 Query = Callable[[SparkSession, str], DataFrame]
 CHUNK_CAP = 100_000
 # Ids of two words that follow each other in some documents and not in others.
-HEADER = [116, 121]
+HEADER = [301, 201]
 _QUERIES: dict[str, Query] = {}
 
 
@@ -407,9 +407,11 @@ def exact_matches(spark, sf_dir):
 
 @query("token_prf")
 def token_scores(spark, sf_dir):
-    p, r, f = token_prf(F.col("_pred"), F.col("_ref"))
-    return V.rounded(S.normalised(V.pairs(spark, sf_dir)).select(
-        "model", "row_idx", p.alias("token_prec"), r.alias("token_recall"), f.alias("token_f1")))
+    scored = S.normalised(V.pairs(spark, sf_dir)).select(
+        "model", "row_idx", token_prf(F.col("_pred"), F.col("_ref")).alias("t"))
+    return V.rounded(scored.select(
+        "model", "row_idx", F.col("t.p").alias("token_prec"), F.col("t.r").alias("token_recall"),
+        F.col("t.f1").alias("token_f1")))
 
 
 @query()

@@ -80,37 +80,31 @@ def shared_count(left: Column, right: Column, mostly_distinct: bool = False) ->
 
 
 def paired_bag(left: Column, right: Column) -> Column:
-    """``array<struct<term, n_left, n_right>>``: each distinct string with its two counts."""
-    def from_sorted(items):
+    """``array<struct<term, on_right, n, n_left>>``: every distinct string of each side.
+
+    ``n`` is its count on that side. An entry of the right side also carries ``n_left``, the
+    count on the left side, so that products need no join; it is 0 elsewhere.
+    """
+    def entries(items):
         # The first position of every (value, side) run.
         firsts = F.filter(
             F.transform(items, lambda v, i: F.when(v == F.get(items, i - 1), None).otherwise(i)),
             lambda i: i.isNotNull(),
         )
-        return let(firsts, lambda pos: let(
-            F.transform(pos, lambda at, j: F.struct(
-                F.substr(F.get(items, at), F.lit(1), F.length(F.get(items, at)) - 2).alias("term"),
-                F.endswith(F.get(items, at), F.lit(_RIGHT)).alias("on_right"),
-                (F.coalesce(F.get(pos, j + 1), F.size(items)) - at).alias("n"),
-            )),
-            merge_sides,
-        ))
-
-    def merge_sides(runs):
-        # A right-side run directly after a left-side run of the same value joins it.
-        def entry(run, j):
-            after, before = F.get(runs, j + 1), F.get(runs, j - 1)
-            return (
-                F.when(~run["on_right"], F.struct(
-                    run["term"].alias("term"),
-                    run["n"].alias("n_left"),
-                    F.when(after["term"] == run["term"], after["n"]).otherwise(0).alias("n_right"),
-                ))
-                .when(before["term"].isNull() | (before["term"] != run["term"]), F.struct(
-                    run["term"].alias("term"), F.lit(0).alias("n_left"),
-                    run["n"].alias("n_right"),
-                ))
-            )
-        return F.filter(F.transform(runs, entry), lambda e: e.isNotNull())
-
-    return let(_marked(left, right), from_sorted)
+
+        def entry(pos):
+            def build(at, j):
+                item, before = F.get(items, at), F.get(pos, j - 1)
+                on_right = F.endswith(item, F.lit(_RIGHT))
+                value = F.substr(item, F.lit(1), F.length(item) - 2)
+                pair = F.concat(value, F.lit(_LEFT)) == F.get(items, before)
+                return F.struct(
+                    value.alias("term"), on_right.alias("on_right"),
+                    (F.coalesce(F.get(pos, j + 1), F.size(items)) - at).alias("n"),
+                    F.when(on_right & pair, at - before).otherwise(0).alias("n_left"),
+                )
+            return F.transform(pos, build)
+
+        return let(firsts, entry)
+
+    return let(_marked(left, right), entries)

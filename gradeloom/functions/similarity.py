@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.arrays import ngrams, paired_bag, shared_count
+from gradeloom.functions.arrays import let, ngrams, paired_bag, shared_count
 from gradeloom.functions.text import words
 
 MAX_ORDER = 4
@@ -34,20 +34,24 @@ def exact_match(pred_norm: Column, ref_norm: Column) -> Column:
     return (pred_norm == ref_norm).cast("double")
 
 
-def token_prf(pred_norm: Column, ref_norm: Column) -> tuple[Column, Column, Column]:
-    """Precision, recall and F1 over distinct tokens; all 0 when a side has none."""
+def token_prf(pred_norm: Column, ref_norm: Column) -> Column:
+    """``struct<p, r, f1>``: precision, recall and F1 over distinct tokens; all 0 when a side
+    has none."""
     pred, ref = F.array_distinct(words(pred_norm)), F.array_distinct(words(ref_norm))
     shared = F.size(F.array_intersect(pred, ref)).cast("double")
-    usable = (F.size(pred) > 0) & (F.size(ref) > 0)
 
-    def guarded(value):
-        return F.when(usable, value).otherwise(F.lit(0.0))
+    def scores(counts):
+        usable = (counts["n_pred"] > 0) & (counts["n_ref"] > 0)
+        precision, recall = counts["shared"] / counts["n_pred"], counts["shared"] / counts["n_ref"]
+        f1 = F.coalesce(
+            F.try_divide(2.0 * precision * recall, precision + recall), F.lit(0.0))
+        zero = F.lit(0.0)
+        return F.when(usable, F.struct(precision.alias("p"), recall.alias("r"), f1.alias("f1"))) \
+            .otherwise(F.struct(zero.alias("p"), zero.alias("r"), zero.alias("f1")))
 
-    return (
-        guarded(F.try_divide(shared, F.size(pred))),
-        guarded(F.try_divide(shared, F.size(ref))),
-        guarded(F.try_divide(2.0 * shared, F.size(pred) + F.size(ref))),
-    )
+    counted = F.struct(
+        shared.alias("shared"), F.size(pred).alias("n_pred"), F.size(ref).alias("n_ref"))
+    return let(counted, scores)
 
 
 def metric_tokens(text_norm: Column) -> Column:
@@ -96,16 +100,20 @@ def with_sentence_bleu(df: DataFrame, pred_norm: str, ref_norm: str, out: str =
     return work.withColumn(out, score).select(*keep, out)
 
 
+def vocabulary_terms(text_norm: Column) -> Column:
+    """Terms of a text in the vocabulary's sense; the empty text has a stand-in."""
+    filled = F.when(text_norm == "", EMPTY_TEXT).otherwise(text_norm)
+    return F.regexp_extract_all(filled, F.lit(TERM), F.lit(0))
+
+
+def term_key(term: Column) -> Column:
+    """The term, or its digest where that is shorter: bounds the size of a vocabulary row."""
+    return F.when(F.length(term) > 64, F.sha2(term, 256)).otherwise(term)
+
+
 def term_bag(pred_norm: Column, ref_norm: Column) -> Column:
-    """Distinct vocabulary terms of the two texts with their counts on each side."""
-    def terms(text):
-        filled = F.when(text == "", EMPTY_TEXT).otherwise(text)
-        # A term longer than its digest is replaced by it, which bounds the size of a key.
-        return F.transform(
-            F.regexp_extract_all(filled, F.lit(TERM), F.lit(0)),
-            lambda t: F.when(F.length(t) > 64, F.sha2(t, 256)).otherwise(t),
-        )
-    return paired_bag(terms(pred_norm), terms(ref_norm))
+    """Distinct terms of both texts with their counts, see ``paired_bag``."""
+    return paired_bag(vocabulary_terms(pred_norm), vocabulary_terms(ref_norm))
 
 
 def vector_cosine(left: Column, right: Column) -> Column:

@@ -14,13 +14,19 @@ packs its own rows. Only (row_idx, bytes) travels, and no task holds more than o
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import REQUEST_FILE_CAP
 
+# The functions below travel to the executors whole, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 65_536
 FAN_IN = 16
 

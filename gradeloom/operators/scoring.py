@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.similarity import (
-    exact_match, term_bag, token_prf, vector_cosine, with_sentence_bleu,
+    exact_match, term_bag, term_key, token_prf, vector_cosine, vocabulary_terms,
+    with_sentence_bleu,
 )
 from gradeloom.functions.text import normalise_code
 from gradeloom.session import spread
@@ -16,8 +17,8 @@ from gradeloom.session import spread
 KEY = "row_idx"
 PRED, TRUTH = "uml_pred", "uml_code_gt"
 DETAIL = (KEY, TRUTH, PRED, "uml_valid", "uml_error", "llm_failed")
-# A key has at most 64 characters, so this many stay within some tens of megabytes.
-BROADCAST_TERMS = 200_000
+# A term key has at most 64 characters, so this many rows stay near 100 MB at the most.
+BROADCAST_TERMS = 1_000_000
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -46,38 +47,41 @@ def tfidf_cosine(
 
     A vocabulary grows with the data and its head is in every row, so neither a broadcast
     of all of it nor a plain join on the term would hold. The weights are joined in two
-    ways. Frequent terms are broadcast: the threshold is the number of (row, term) pairs
+    ways. Frequent terms are broadcast: the threshold is the number of (text, term) uses
     over ``broadcast_terms``, so at most that many terms can reach it. All other terms are
     joined by shuffle, where none of them holds more than one ``broadcast_terms``-th of the
-    pairs. A vocabulary that fits is broadcast whole and the second way reads nothing.
+    uses. A vocabulary that fits is broadcast whole and the second way reads nothing.
     """
     texts = normalised(df).select(key, "_pred", "_ref")
-
-    def pairs(rows):
-        bag = rows.select(key, F.explode(term_bag(F.col("_pred"), F.col("_ref"))).alias("e"))
-        return bag.select(key, "e.term", "e.n_left", "e.n_right")
-
-    terms = pairs(texts)
-    vocabulary = terms.groupBy("term").agg(F.sum(
-        F.when(F.col("n_left") > 0, 1).otherwise(0) + F.when(F.col("n_right") > 0, 1).otherwise(0)
-    ).alias("df"))
+    # A text counts once per term, and each pair of rows has two texts.
+    distinct = F.concat(*[F.array_distinct(vocabulary_terms(F.col(c))) for c in ("_pred", "_ref")])
+    vocabulary = texts.select(F.explode(distinct).alias("t")).groupBy(
+        term_key(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("df"))
     n_terms = vocabulary.agg(F.count(F.lit(1))).scalar()
-    n_pairs = vocabulary.agg(F.sum("df")).scalar()
+    n_uses = vocabulary.agg(F.sum("df")).scalar()
     n_texts = 2 * df.agg(F.count(F.lit(1))).scalar()
     fits = n_terms <= broadcast_terms
-    threshold = F.when(fits, 0.0).otherwise(n_pairs / broadcast_terms)
+    threshold = F.when(fits, 0.0).otherwise(n_uses / broadcast_terms)
     weighted = vocabulary.select(
         "term", "df", (F.ln((1.0 + n_texts) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     frequent = F.broadcast(weighted.where(F.col("df") >= threshold).drop("df"))
     rare = weighted.where(F.col("df") < threshold).drop("df")
-    rare_terms = pairs(texts.where(~fits)).join(frequent, "term", "left_anti")
 
-    left, right = F.col("n_left") * F.col("idf"), F.col("n_right") * F.col("idf")
-    products = [(left * right).alias("lr"), (left * left).alias("ll"), (right * right).alias("rr")]
+    def terms(rows):
+        bag = F.explode(term_bag(F.col("_pred"), F.col("_ref"))).alias("e")
+        return rows.select(key, bag).select(
+            key, term_key(F.col("e.term")).alias("term"), "e.on_right", "e.n", "e.n_left")
+
+    rare_terms = terms(texts.where(~fits)).join(frequent, "term", "left_anti")
+    square = F.col("idf") * F.col("idf")
+    own = F.col("n") * F.col("n") * square
+    products = [(F.col("n_left") * F.col("n") * square).alias("lr"),
+                F.when(F.col("on_right"), 0.0).otherwise(own).alias("ll"),
+                F.when(F.col("on_right"), own).otherwise(0.0).alias("rr")]
     none = [F.lit(0.0).alias(c) for c in ("lr", "ll", "rr")]
-    # The rows of one key are still together, so the sums shrink to one record per row and
-    # side before the shuffle. The zero rows keep texts without any term.
-    parts = terms.join(frequent, "term").select(key, *products) \
+    # The entries of one row are still together, so the sums shrink to one record per row
+    # before the shuffle. The zero records keep texts without any term.
+    parts = terms(texts).join(frequent, "term").select(key, *products) \
         .unionAll(rare_terms.join(rare, "term").select(key, *products)) \
         .unionAll(df.select(key, *none))
     sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("lr", "ll", "rr")])
@@ -97,12 +101,14 @@ def score_pairs(
     cosine, joined by ``row_idx``, or the cosine of two supplied embedding columns.
     """
     kept = [c for c in detail if c in df.columns]
-    precision, recall, f1 = token_prf(F.col("_pred"), F.col("_ref"))
     scored = with_sentence_bleu(normalised(df), "_pred", "_ref").withColumns({
         "model": F.lit(label),
         "exact_match": exact_match(F.col("_pred"), F.col("_ref")),
         "codebleu": F.col("bleu"),
-        "token_prec": precision, "token_recall": recall, "token_f1": f1,
+        "_tokens": token_prf(F.col("_pred"), F.col("_ref")),
+    }).withColumns({
+        "token_prec": F.col("_tokens.p"), "token_recall": F.col("_tokens.r"),
+        "token_f1": F.col("_tokens.f1"),
     })
     if vectors is None:
         scored = scored.join(tfidf_cosine(df), KEY)
