@@ -170,6 +170,8 @@ def plan_request_chunks(
 
     def pack(_, pdf, states):
         pdf = pdf.sort_values("row_idx")
+        if pdf.empty:
+            return pdf.assign(part=0)[["row_idx", "bytes", "part"]]
         pdf["part"] = assign(pdf["bytes"].to_numpy(), int(states["carry"][0]),
                              int(states["part"][0]), cap)
         return pdf[["row_idx", "bytes", "part"]]

@@ -24,18 +24,19 @@ def ingest_responses(
     lines = (
         spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch)
         .text(source)
-        .select(F.col("value").alias("line"),
-                F.col("_metadata.file_path").alias("file_ord"),
-                F.struct(F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("pos")).alias("line_no"))
+        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_ord"),
+                F.col("_metadata.file_block_start").alias("block"))
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # Positions inside a file block exist only once the batch is a plain table.
+        placed = batch.withColumn(
+            "line_no", F.struct("block", F.monotonically_increasing_id().alias("pos")))
+        parse_responses(placed, ("file_ord", "line_no")).write.mode("overwrite").parquet(
+            f"{target}/batch_id={batch_id}")
 
     return (
-        parse_responses(lines, ("file_ord", "line_no"))
-        .writeStream.foreachBatch(save)
+        lines.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
