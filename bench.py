@@ -14,7 +14,7 @@ HEADLINE = (
     "plan_request_chunks", "read_batch_responses", "latest_response", "merge_responses",
     "batch_gate", "conversion_summary", "top_errors", "outcome_comparison", "check_diagram",
     "classify_render_response", "mask_prompt_labels", "normalise_code", "token_prf",
-    "sentence_bleu", "tfidf_cosine", "score_pairs", "metric_summary", "validity_correctness",
+    "sentence_bleu", "tfidf_cosine", "score_pairs", "metric_summary",
 )
 
 

@@ -55,8 +55,11 @@ def tfidf_cosine(
     texts = normalised(df).select(key, "_pred", "_ref")
     # A text counts once per term, and each pair of rows has two texts.
     distinct = F.concat(*[F.array_distinct(vocabulary_terms(F.col(c))) for c in ("_pred", "_ref")])
-    vocabulary = texts.select(F.explode(distinct).alias("t")).groupBy(
-        term_key(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    # The null test is what the join below adds by itself: stated here, every use of the
+    # vocabulary has the same plan and its shuffle is computed once.
+    vocabulary = texts.select(F.explode(distinct).alias("t")).select(
+        term_key(F.col("t")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
     n_terms = vocabulary.agg(F.count(F.lit(1))).scalar()
     n_uses = vocabulary.agg(F.sum("df")).scalar()
     n_texts = 2 * df.agg(F.count(F.lit(1))).scalar()
@@ -111,7 +114,8 @@ def score_pairs(
         "token_f1": F.col("_tokens.f1"),
     })
     if vectors is None:
-        scored = scored.join(tfidf_cosine(df), KEY)
+        # One narrow record per row on the hashed side, so the texts need not be sorted.
+        scored = scored.join(tfidf_cosine(df).hint("shuffle_hash"), KEY)
     else:
         scored = scored.withColumn("emb_sim", vector_cosine(*map(F.col, vectors)))
     filled = [F.coalesce(c, F.lit("")).alias(c) if c in (PRED, TRUTH) else F.col(c) for c in kept]

@@ -41,7 +41,8 @@ def write_request_chunks(
     """
     usable = lines.where(F.col("line").isNotNull()).select("row_idx", "line")
     plan = plan_request_chunks(usable, cap, **planning)
-    (usable.join(plan.select("row_idx", "part"), "row_idx")
+    # Two integers per row on the hashed side, so the lines are not sorted for the join.
+    (usable.join(plan.select("row_idx", "part").hint("shuffle_hash"), "row_idx")
      .repartition("part").sortWithinPartitions("part", "row_idx")
      .select("part", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("part").option("lineSep", "\n").text(path))
