@@ -16,7 +16,7 @@ def lit(text: str) -> str:
 
 
 def r6(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
+    return f"round(cast({expression} AS double), 6) AS {name}"
 
 
 def trim_space(x: str) -> str:

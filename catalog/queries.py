@@ -100,7 +100,7 @@ def read_eval_split(spark, sf_dir):
         "no_image": rows.select("row_idx", code.alias("uml_code")).withColumn("extra", F.lit(1)),
     }
     return union_shards([
-        eval_split(df).select(F.lit(name).alias("layout"), F.length("image_bytes").alias("n_bytes"),
+        eval_split(df).select(F.lit(name).alias("layout"), F.length("image_bytes").cast("long").alias("n_bytes"),
                               "uml_code_gt") for name, df in layouts.items()])
 
 
@@ -357,7 +357,7 @@ def format_training_chat(spark, sf_dir):
         return F.array_join(F.transform(m["content"], lambda p: F.concat_ws(":", p["type"], p["text"])), "|")
     chats = format_training_rows(spark, sf_dir)
     return chats.select(
-        "split", F.length("image_bytes").alias("n_bytes"),
+        "split", F.length("image_bytes").cast("long").alias("n_bytes"),
         F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), texts(m))),
                      "||").alias("chat"))
 
