@@ -19,15 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import null_safe, stored
-from gradeloom.llm.words import alnum_words, encoded, grams, rightmost_minima, word_hashes
+from gradeloom.llm.shared import null_safe, stored, text_hash
+from gradeloom.llm.words import alnum_words, distinct_places, encoded, grams, rightmost_minima, word_hashes
 
 SPAN, GRAM = 13, 7
 WINDOW = SPAN - GRAM + 1
 FILTER_BITS = 24
 HITS = "m int, h long, q int, before int, context string"
 MARKS = f"doc_id long, text_hash long, n_words long, {HITS}"
-TEXT_HASH = F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _around(words: list[bytes], q: int, m: int) -> tuple[int, str]:
@@ -43,7 +42,7 @@ def _item_prints(words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         yield len(words), grams(hashes, len(words)).view(np.int64)[0], 0
     elif words:
         values = grams(hashes, GRAM)
-        for q in np.unique(rightmost_minima(values, WINDOW)):
+        for q in distinct_places(rightmost_minima(values, WINDOW)):
             yield SPAN, values.view(np.int64)[q], int(q)
 
 
@@ -84,7 +83,7 @@ def _marks(docs: DataFrame, bits, short: list[int]) -> DataFrame:
             values = grams(hashes, GRAM)
             hit = known(values)
             if hit.any():
-                kept = np.unique(rightmost_minima(values, WINDOW))
+                kept = distinct_places(rightmost_minima(values, WINDOW))
                 yield SPAN, values, kept[hit[kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +102,7 @@ def _marks(docs: DataFrame, bits, short: list[int]) -> DataFrame:
                             rows = []
             yield _columns(rows, types)
 
-    return docs.select(F.col("doc_id").cast("long"), TEXT_HASH.alias("text_hash"), "text").mapInArrow(run, MARKS)
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text").mapInArrow(run, MARKS)
 
 
 def _spans(hits: DataFrame) -> DataFrame:
@@ -169,4 +168,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = ["doc_id", "_text_hash"]
     bad = judged(docs, benchmark).where("contaminated").select(
         "doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    return null_safe(docs.withColumn("_text_hash", TEXT_HASH), bad, keys, "left_anti").drop("_text_hash")
+    return null_safe(docs.withColumn("_text_hash", text_hash()), bad, keys, "left_anti").drop("_text_hash")

@@ -39,3 +39,8 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     for k in keys:
         on = on & left[k].eqNullSafe(renamed[f"_r_{k}"])
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def text_hash() -> Column:
+    """A hash of ``text``, null counting as empty: with the doc_id it tells repeated ids apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))

@@ -29,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import component_roots, forest
-from gradeloom.llm.shared import null_safe, stored
+from gradeloom.llm.shared import null_safe, stored, text_hash
 from gradeloom.llm.words import encoded, space_words
 
 SHINGLE, DISTANCE, CHUNKS = 4, 4, 3
 BITS, CODE_BITS, RADIUS, SEED = 64, 15, 1, 42
 HOT_SHARE, HOT_LEAST = 10_000, 20_000
 BLOCK = 1 << 21
-TEXT_HASH = F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -67,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())],
                 ["doc_id", "text_hash", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), TEXT_HASH.alias("text_hash"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text").mapInArrow(
         run, "doc_id long, text_hash long, fp long")
 
 
@@ -234,7 +233,7 @@ def keep_one(
         "root").agg(F.min(order).alias("c")).select("c.doc_id", "c.text_hash", "c.n")
     keys = ["doc_id", "_text_hash"]
     chosen = stored(chosen.groupBy("doc_id", F.col("text_hash").alias("_text_hash")).agg(F.max("n").alias("n")))
-    hashed = docs.withColumn("_text_hash", TEXT_HASH)
+    hashed = docs.withColumn("_text_hash", text_hash())
     kept = null_safe(hashed, chosen.where("n = 1").drop("n"), keys, "left_semi")
     repeated = chosen.where("n > 1").drop("n")
     if not repeated.isEmpty():

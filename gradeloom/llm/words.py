@@ -14,7 +14,8 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
+_PLACE = 24
 _WORD_BYTES = bytes(
     ord(chr(i).lower()) if 0x41 <= i <= 0x5A
     else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20
@@ -84,11 +85,33 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def rightmost_minima(values: np.ndarray, window: int) -> np.ndarray:
-    """For each run of ``window`` values the position of its smallest, the rightmost of equal ones."""
-    if len(values) < window:
+    """For each run of ``window`` values the position of its smallest, the rightmost of equal ones.
+
+    Values count by their top 40 bits. The low bits hold the position, counted from the end, so
+    that minima of numbers, taken by doubling, carry their position along.
+    """
+    n = len(values) - window + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(values, window)[:, ::-1]
-    return np.arange(len(view)) + (window - 1) - view.argmin(axis=1)
+    if len(values) >= 1 << _PLACE:
+        half = len(values) // 2
+        return np.concatenate([rightmost_minima(values[:half + window - 1], window),
+                               rightmost_minima(values[half:], window) + half])
+    least = (values >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(values), 0, -1, dtype=np.uint64)
+    size = 1
+    while 2 * size <= window:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < window:
+        least = np.minimum(least[:n], least[window - size:window - size + n])
+    return len(values) - (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+
+
+def distinct_places(places: np.ndarray) -> np.ndarray:
+    """Positions from ``rightmost_minima``, which never fall, once each."""
+    fresh = np.ones(len(places), bool)
+    fresh[1:] = places[1:] != places[:-1]
+    return places[fresh]
 
 
 def encoded(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
