@@ -10,15 +10,20 @@ before each partition. Lengths are limited to ``MAX_BITS`` by package-merge, so
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +32,10 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-CACHE = 400_000
+CACHE = 1_000_000
+# The pattern by which byte-level BPE splits a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
 # A blank next to other white space, where pieces of the text do not split at every blank.
 _LOOSE = re.compile(r"\s | \s")
 
@@ -35,12 +43,20 @@ RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens
 BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, bits binary, marks binary"
 
 
+def _kept_here(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Tables of words and pieces that stay in the worker process for its next tasks."""
+    holder = sys.modules.setdefault("_token_tables", types.ModuleType("_token_tables"))
+    return holder.__dict__.setdefault(path, ({}, {}))
+
+
 class Encoder:
     """Token ids of texts, with the ids of words seen before kept in a bounded table.
 
-    A byte-level pre-tokenizer always splits before a blank between two other characters that
-    are not white space, so the parts are encoded alone. Texts with other white space around
-    blanks, or with a special token, are encoded whole.
+    Byte-level BPE splits a text by a fixed pattern and encodes the pieces alone. The pattern
+    always splits before a blank between two other characters that are not white space, so
+    the words between blanks are encoded alone as well, and new ones piece by piece. Texts with
+    other white space around blanks or with a special token, words with characters on whose
+    kind libraries may differ, and other kinds of tokenizers are left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,43 +64,59 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        about = json.loads(self.tokenizer.to_str())
+        model, before = about["model"], about["pre_tokenizer"] or {}
+        self.by_piece = (
+            model["type"] == "BPE" and not model.get("dropout") and before.get("type") == "ByteLevel"
+            and before.get("use_regex") and not before.get("add_prefix_space") and about["normalizer"] is None)
+        self.words, self.pieces = _kept_here(path)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.pattern = regex.compile(PATTERN)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def word(self, word: str) -> bytes:
+        """Ids of a blank and a word."""
+        text = " " + word
+        if not _PLAIN.fullmatch(word):
+            return self.whole(text).tobytes()
+        out, known = [], self.pieces
+        for piece in self.pattern.findall(text):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) > CACHE:
+                    known.clear()
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                ids = known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def __call__(self, text: str) -> np.ndarray:
-        if _LOOSE.search(text) or any(s in text for s in self.special):
+        if not self.by_piece or _LOOSE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        parts = [first] + [" " + p for p in rest]
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        if new:
+        known = self.words
+        got = list(map(known.get, rest))
+        if None in got:
             if len(known) > CACHE:
                 known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
+            for i, ids in enumerate(got):
+                if ids is None:
+                    ids = known.get(rest[i])
+                    got[i] = known[rest[i]] = self.word(rest[i]) if ids is None else ids
+        return np.frombuffer(self.whole(first).tobytes() + b"".join(got), np.uint32)
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """(doc_id, zstd text) in ascending doc_id order over the partitions.
+    """(doc_id, text) in ascending doc_id order over the partitions.
 
     Rows with one doc_id are ordered by a hash of the text and may be in several partitions.
     """
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            packed = [squeeze.compress(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("salt"), pa.array(packed, pa.binary())],
-                ["doc_id", "salt", "z"])
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("salt"), "text")
-    return keyed.mapInArrow(pack, "doc_id long, salt long, z binary").repartitionByRange(
-        "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("salt"))
+    return keyed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
 
 
 def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], end_id: int) -> DataFrame:
@@ -92,7 +124,7 @@ def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, encode = TaskContext.get().partitionId(), encoder()
-        squeeze, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        squeeze = zstandard.ZstdCompressor(level=3)
         block, first, ids, docs_in = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -107,8 +139,8 @@ def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray
 
         size = 0
         for batch in batches:
-            for doc, z in zip(batch.column("doc_id").to_pylist(), batch.column("z"), strict=True):
-                got = np.append(encode(unpack.decompress(z.as_py()).decode()), np.uint32(end_id))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                got = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                 if ids and size + len(got) > BLOCK_TOKENS:
                     yield close()
                     block, first, ids, docs_in, size = block + 1, first + size, [], [], 0
