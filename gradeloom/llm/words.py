@@ -21,6 +21,8 @@ _WORD_BYTES = bytes(
     else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20
     for i in range(256))
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
 _powers = {base: np.ones(1, np.uint64) for base in (_BASE, _INVERSE)}
 
 
@@ -114,6 +116,35 @@ def distinct_places(places: np.ndarray) -> np.ndarray:
     return places[fresh]
 
 
+def hashes_of(text: bytes) -> np.ndarray:
+    """The hashes of all ``space_words``, found in the bytes without cutting them out."""
+    found = []
+    begin = 0
+    while begin < len(text):
+        end = begin + _SLICE
+        if end < len(text):
+            # Slices end with a word.
+            data = np.frombuffer(text, np.uint8, len(text) - end, end)
+            for low in range(0, len(data), _SLICE):
+                blank = np.flatnonzero(_BLANK[data[low:low + _SLICE]])
+                if len(blank):
+                    end += low + int(blank[0])
+                    break
+            else:
+                end = len(text)
+        data = np.frombuffer(text, np.uint8, min(end, len(text)) - begin, begin)
+        inside = np.zeros(len(data) + 2, bool)
+        np.logical_not(_BLANK[data], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = edge[::2], edge[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
+        value = (total[stop] - total[start]) * _power(_INVERSE, len(data) + 1)[start]
+        found.append(mix(value + (stop - start).astype(np.uint64)))
+        begin = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
 def encoded(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text, one at a time; a null stays None."""
     for value in column.cast(pa.large_binary()):
