@@ -32,7 +32,7 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-CACHE = 1_000_000
+WORDS, PIECES = 1_000_000, 250_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
@@ -87,7 +87,7 @@ class Encoder:
         for piece in self.pattern.findall(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) > CACHE:
+                if len(known) > PIECES:
                     known.clear()
                 letters = piece.encode().decode("latin-1").translate(self.letters)
                 ids = known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
@@ -101,7 +101,7 @@ class Encoder:
         known = self.words
         got = list(map(known.get, rest))
         if None in got:
-            if len(known) > CACHE:
+            if len(known) > WORDS:
                 known.clear()
             for i, ids in enumerate(got):
                 if ids is None:
@@ -128,10 +128,9 @@ def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray
         block, first, ids, docs_in = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            tokens = np.concatenate(ids).astype("<u4")
-            planes = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
+            tokens = np.concatenate(ids)
             row = [part, block, first, np.array(docs_in, "<i8").tobytes(),
-                   np.array([len(x) for x in ids], "<i8").tobytes(), len(tokens), squeeze.compress(planes)]
+                   np.array([len(x) for x in ids], "<i8").tobytes(), len(tokens), _packed(tokens, squeeze)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, types, strict=True)],
@@ -152,9 +151,17 @@ def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray
     return _ordered(docs).mapInArrow(run, RAW)
 
 
-def _plain(row_ids: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row_ids), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def _packed(tokens: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """The width of a number, then all first bytes, all second bytes and so on, compressed."""
+    width = 2 if int(tokens.max()) < 1 << 16 else 4
+    planes = tokens.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + squeeze.compress(planes.tobytes())
+
+
+def _plain(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def id_counts(raw: DataFrame) -> DataFrame:
@@ -239,9 +246,13 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     out = np.zeros(n_bytes + 3, np.uint8)
     value = codes[ids].astype(np.int64) << (24 - (start & 7) - size)
     at = start >> 3
-    for k, shift in enumerate((16, 8, 0)):
-        # Codes do not share bits, so sums are unions.
-        out += np.bincount(at + k, (value >> shift) & 255, n_bytes + 3).astype(np.uint8)
+    # Codes do not share bits, so sums are unions; codes that start in one byte are summed first.
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(first):
+        total, at = np.add.reduceat(value, first), at[first]
+        for k, shift in enumerate((16, 8, 0)):
+            # A byte stands once in ``at``, so plain addition by index is enough.
+            out[at + k] += ((total >> shift) & 255).astype(np.uint8)
     return out[:n_bytes].tobytes(), start[::STEP]
 
 
