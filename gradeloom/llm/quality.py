@@ -171,11 +171,16 @@ def fit_views(
     """Co-train on a measured table and ``labels`` (doc_id, quality); the base rate if that has one class.
 
     Of repeated labels of a document the largest counts; other values than 0 and 1 and nulls do
-    not. The labelled rows are those with the smallest hash, a quarter of them for calibration.
+    not. Beyond ``max_labelled`` labelled rows a share of them by hash is taken, and a quarter of
+    those taken serves for calibration.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(
         F.max("quality").alias("y"))
-    rows = table.join(known, "doc_id").orderBy("key").limit(max_labelled).collect()
+    labelled = table.join(known, "doc_id")
+    share = max_labelled / max(1, labelled.count())
+    # A share of all hashes reaches the driver, not the smallest of every task.
+    part = F.shiftrightunsigned(F.col("key"), 11) / F.lit(float(1 << 53))
+    rows = sorted(labelled.where(part < share).collect(), key=lambda r: (r.key, r.doc_id))[:max_labelled]
     y = np.array([r.y for r in rows], float)
     aside = np.arange(len(rows)) % 4 == 3
     if any(len(set(y[part].tolist())) < 2 for part in (aside, ~aside)):
