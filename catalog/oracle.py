@@ -364,7 +364,8 @@ def oracle_sql() -> dict[str, str]:
         "fill_missing_text": over_pairs("SELECT model, row_idx, uml_pred FROM pairs"),
         "empty_reference_count": f"WITH {CHATS} SELECT count(*) AS n_empty FROM chats WHERE answer = ''",
         "drop_source_columns":
-            f"WITH {FLAGGED} SELECT 'messages,image_bytes,split' AS columns FROM flagged"
+            f"WITH {FLAGGED} SELECT 'messages' AS messages, octet_length(encode(text)) AS image_bytes,"
+            " length(split) + 4 AS split FROM flagged"
             " WHERE uml_valid AND NOT llm_failed",
         "sample_rows":
             f"WITH {FLAGGED} SELECT row_idx, left(text, 120) AS text, split, uml_valid, uml_error,"
@@ -377,10 +378,26 @@ def oracle_sql() -> dict[str, str]:
             " JOIN flagged f USING (row_idx)"),
         "latest_response": f"WITH {RESPONSES} SELECT row_idx, uml_code FROM latest",
         "merge_responses":
-            f"WITH {RESPONSES} SELECT d.doc_id AS row_idx, coalesce(l.uml_code, '') AS uml_code,"
-            " l.uml_code IS NOT NULL AS uml_valid, CASE WHEN l.uml_code IS NULL THEN"
-            f" {lit(C.FAILED_IN_BATCH)} ELSE '' END AS uml_error, l.uml_code IS NULL AS llm_failed"
-            " FROM documents d LEFT JOIN latest l ON l.row_idx = d.doc_id",
+            f"WITH {RESPONSES}, answers AS (SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN '@startuml' || chr(10)"
+            " || uml_code || chr(10) || '@enduml' ELSE uml_code END AS uml_code FROM latest), judged AS ("
+            "SELECT d.doc_id AS row_idx, l.uml_code, CASE WHEN l.uml_code IS NULL THEN"
+            f" {lit(C.FAILED_IN_BATCH)} WHEN NOT regexp_matches(l.uml_code, '(?i)@startuml') THEN"
+            " 'Missing @startuml directive (pre-flight check)' WHEN NOT regexp_matches(l.uml_code, '(?i)@enduml')"
+            " THEN 'Missing @enduml directive (pre-flight check)' ELSE '' END AS uml_error"
+            " FROM documents d LEFT JOIN answers l ON l.row_idx = d.doc_id)"
+            " SELECT row_idx, coalesce(uml_code, '') AS uml_code, uml_error = '' AS uml_valid, uml_error,"
+            " uml_code IS NULL AS llm_failed FROM judged",
+        "write_results": f"WITH {FLAGGED} SELECT row_idx, split, uml_valid, uml_error, llm_failed FROM flagged",
+        "export_split":
+            f"WITH {FLAGGED} SELECT row_idx, text, uml_valid, llm_failed FROM flagged WHERE split = 'src0'",
+        "write_detail_csv": f"WITH {FLAGGED} SELECT row_idx, uml_valid, uml_error, llm_failed FROM flagged",
+        "write_request_chunks": f"WITH {PLAN} SELECT part, count(*) AS n_requests FROM plan GROUP BY part",
+        "check_predictions":
+            f"WITH {DIAGRAMS}, {CHECKED} SELECT row_idx, error = '' AS uml_valid, error AS uml_error,"
+            " false AS llm_failed FROM checked",
+        "assign_split":
+            "SELECT doc_id AS row_idx, CASE WHEN slot < 8 THEN 'train' WHEN slot = 8 THEN 'validation' ELSE 'test' END"
+            " AS split FROM (SELECT doc_id, cast('0x' || left(md5(doc_id || ':42'), 8) AS bigint) % 10 AS slot FROM documents)",
         "pair_models": over_pairs(
             "SELECT measure, max(value) FILTER (model = 'base') AS base,"
             " max(value) FILTER (model = 'finetuned') AS finetuned FROM long GROUP BY measure",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,10 @@ from gradeloom.operators import results as O
 from gradeloom.operators import scoring as S
 from gradeloom.operators.chunks import chunk_sizes, plan_request_chunks
 from gradeloom.plans.compare import score_models
-from gradeloom.session import written
+from gradeloom.session import shared_dir, written
 from gradeloom.sources.responses import parse_responses
 from gradeloom.sources.shards import read_shards, tag_split, union_shards, with_row_index
+from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import eval_split, ground_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,7 +168,9 @@ def empty_reference_count(spark, sf_dir):
 @query()
 def drop_source_columns(spark, sf_dir):
     chats = format_training_rows(spark, sf_dir)
-    return chats.select(F.array_join(F.lit(chats.columns), ",").alias("columns"))
+    return chats.select(*[F.length(F.to_json(F.array(c))).cast("long").alias(c) if c == "split"
+                          else F.lit(c).alias(c) if c == "messages" else F.length(c).cast("long").alias(c)
+                          for c in chats.columns])
 
 
 @query()
@@ -201,8 +205,11 @@ def latest_response(spark, sf_dir):
 
 @query()
 def merge_responses(spark, sf_dir):
-    return J.merge_responses(V.flagged(spark, sf_dir), latest_response(spark, sf_dir),
-                             FAILED_IN_BATCH)
+    code = F.col("uml_code")
+    wrapped = F.concat(F.lit("@startuml\n"), code, F.lit("\n@enduml"))
+    answers = latest_response(spark, sf_dir).withColumn(
+        "uml_code", F.when(F.col("row_idx") % 2 == 0, wrapped).otherwise(code))
+    return J.merge_responses(V.flagged(spark, sf_dir), answers, FAILED_IN_BATCH)
 
 
 @query()
@@ -215,6 +222,49 @@ def union_models(spark, sf_dir):
     return V.pairs(spark, sf_dir)
 
 
+# Sinks: written to a new folder and read back
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/gradeloom/{uuid.uuid4().hex}"
+
+
+@query("write_results")
+def write_results_table(spark, sf_dir):
+    path = _folder(spark)
+    write_results(V.flagged(spark, sf_dir).drop("text"), path, partition_by="split")
+    return spark.read.parquet(path).select("row_idx", "split", "uml_valid", "uml_error", "llm_failed")
+
+
+@query("export_split")
+def export_split_table(spark, sf_dir):
+    path = _folder(spark)
+    export_split(V.flagged(spark, sf_dir), "src0", path)
+    return spark.read.parquet(path).select("row_idx", "text", "uml_valid", "llm_failed")
+
+
+@query("write_detail_csv")
+def write_detail_csv_table(spark, sf_dir):
+    path = _folder(spark)
+    write_detail_csv(V.base_pairs(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').schema(
+        "row_idx long, uml_valid boolean, uml_error string, llm_failed boolean").csv(path).select(
+        "row_idx", "uml_valid", F.coalesce("uml_error", F.lit("")).alias("uml_error"), "llm_failed")
+
+
+@query("write_request_chunks")
+def write_request_files(spark, sf_dir):
+    path = _folder(spark)
+    write_request_chunks(build_request_text(spark, sf_dir), path, CHUNK_CAP)
+    files = spark.read.option("lineSep", "\n").text(path)
+    return files.groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@query()
+def check_predictions(spark, sf_dir):
+    return O.check_predictions(V.diagrams(spark, sf_dir).select("row_idx", F.col("code").alias("uml_pred"))).select(
+        "row_idx", "uml_valid", "uml_error", "llm_failed")
+
+
 # Reports
 
 @query()

@@ -74,19 +74,20 @@ def with_sentence_bleu(df: DataFrame, pred_norm: str, ref_norm: str, out: str =
         return frame.withColumns(columns)
 
     work = step(df, _p1=metric_tokens(F.col(pred_norm)), _r1=metric_tokens(F.col(ref_norm)))
+    work = step(work, _m1=shared_count(F.col("_p1"), F.col("_r1"), mostly_distinct=False))
     for n in range(2, MAX_ORDER + 1):
+        # Without a shared n-gram no longer one can be shared: most unlike texts stop early.
+        shared = F.col(f"_m{n - 1}") > 0
         work = step(work, **{
-            f"_{s}{n}": ngrams(F.col(f"_{s}1"), F.col(f"_{s}{n - 1}"), n) for s in "pr"
+            f"_{s}{n}": F.when(shared, ngrams(F.col(f"_{s}1"), F.col(f"_{s}{n - 1}"), n)) for s in "pr"
         })
-    work = step(work, **{
-        f"_m{n}": shared_count(F.col(f"_p{n}"), F.col(f"_r{n}"), mostly_distinct=n > 1)
-        for n in range(1, MAX_ORDER + 1)
-    })
+        work = step(work, **{f"_m{n}": F.when(shared, shared_count(
+            F.col(f"_p{n}"), F.col(f"_r{n}"), mostly_distinct=True)).otherwise(0)})
     # Orders the prediction is too short for do not count.
     order = F.least(F.size("_p1"), F.lit(MAX_ORDER))
     log_sum, misses = F.lit(0.0), F.lit(0)
     for n in range(1, MAX_ORDER + 1):
-        match, total = F.col(f"_m{n}"), F.size(f"_p{n}")
+        match, total = F.col(f"_m{n}"), F.greatest(F.size("_p1") - (n - 1), F.lit(0))
         misses = misses + F.when((total > 0) & (match == 0), 1).otherwise(0)
         precision = F.when(match > 0, match / F.nullif(total, F.lit(0))).otherwise(
             1.0 / F.nullif(F.pow(F.lit(2.0), misses) * total, F.lit(0.0)))

@@ -38,7 +38,8 @@ def assign_split(df: DataFrame, key: str = "row_idx", seed: int = 42) -> DataFra
     """
     if "split" in df.columns:
         return df
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10))
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    slot = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") % 10
     train, validation, test = SPLIT_ORDER
     return df.withColumn(
         "split", F.when(slot < 8, train).when(slot == 8, validation).otherwise(test))
@@ -81,14 +82,16 @@ def mask_prompt_labels(
 ) -> DataFrame:
     """Truncate, pad to the longest row of the batch, and add ``labels``.
 
-    Only the batch widths are aggregated; the token arrays are not grouped.
+    Only the batch widths are aggregated. Where they do not fit a broadcast, the token arrays are
+    shuffled once to meet them, but not sorted. Rows without a batch form one.
     """
     cut = df.withColumn("input_ids", F.slice("input_ids", 1, max_len))
     longest = F.max(F.least(F.size("input_ids"), F.lit(max_len))).alias("_width")
     if batch is None:
         sized = cut.withColumn("_width", df.agg(longest).scalar())
     else:
-        sized = cut.join(df.groupBy(batch).agg(longest), batch)
+        widths = df.groupBy(F.col(batch).alias("_batch")).agg(longest).hint("shuffle_hash")
+        sized = cut.join(widths, cut[batch].eqNullSafe(widths["_batch"])).drop("_batch")
     padded = sized.withColumn(
         "input_ids", pad_ids(F.col("input_ids"), F.col("_width"), pad_id)).drop("_width")
     return padded.withColumn(

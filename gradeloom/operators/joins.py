@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import BASE, FAILED_IN_BATCH, FINETUNED
+from gradeloom.functions.diagrams import preflight_diagram
 from gradeloom.operators.results import result_row
 
 
@@ -19,14 +20,16 @@ def attach_results(source: DataFrame, results: DataFrame) -> DataFrame:
 def attach_ground_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Replace the reference text by the authoritative one.
 
-    Both must hold the same number of rows: one small count query decides that.
+    Both must hold the same ids, once each: otherwise they are not the same test split.
     """
-    n_pred, n_truth = predictions.agg(F.count(F.lit(1)).alias("p")).select(
-        "p", truth.agg(F.count(F.lit(1))).scalar()).first()
-    if n_pred != n_truth:
+    ids = predictions.select("row_idx", F.lit(1).alias("p"), F.lit(0).alias("t")).unionAll(
+        truth.select("row_idx", F.lit(0), F.lit(1)))
+    unpaired = ids.groupBy("row_idx").agg(F.sum("p").alias("p"), F.sum("t").alias("t")).where("p <> 1 OR t <> 1")
+    found = unpaired.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first")).first()
+    if found.n:
         raise ValueError(
-            f"predictions have {n_pred} rows but ground truth has {n_truth} rows; "
-            "they must be the same test split")
+            f"{found.n} row ids are missing or repeated in the predictions or the ground truth, "
+            f"the first is {found['first']}; they must be the same test split")
     return predictions.drop("uml_code_gt").join(
         truth.select("row_idx", "uml_code_gt"), "row_idx")
 
@@ -44,16 +47,18 @@ def latest_response(responses: DataFrame, order: Sequence[str] = ("file_ord", "l
 
 
 def merge_responses(
-    source: DataFrame, responses: DataFrame, failed_message: str = FAILED_IN_BATCH
+    source: DataFrame, responses: DataFrame, failed_message: str = FAILED_IN_BATCH,
+    check: Callable[[Column], Column] = preflight_diagram, keys: Sequence[str] = ("row_idx",),
 ) -> DataFrame:
     """Result rows for every source row; a row without a response is a failed call.
 
-    ``responses`` may carry an ``errors`` list from validation.
+    ``responses`` may carry an ``errors`` list from validation; without it, ``check`` gives the
+    error of a code, or NULL. Columns of ``source`` named in ``keys`` are kept.
     """
-    joined = source.select("row_idx").join(responses, "row_idx", "left")
-    if "errors" not in joined.columns:
-        joined = joined.withColumn("errors", F.array().cast("array<string>"))
-    return result_row(joined, failed_message=failed_message)
+    if "errors" not in responses.columns:
+        responses = responses.withColumn("errors", F.array_compact(F.array(check(F.col("uml_code")))))
+    joined = source.select(*keys).join(responses, "row_idx", "left")
+    return result_row(joined, failed_message=failed_message, keys=keys)
 
 
 def resume_increment(todo: DataFrame, done: DataFrame) -> DataFrame:

@@ -12,19 +12,18 @@ from gradeloom.functions.similarity import (
     with_sentence_bleu,
 )
 from gradeloom.functions.text import normalise_code
-from gradeloom.session import spread
+from gradeloom.session import written
 
 KEY = "row_idx"
 PRED, TRUTH = "uml_pred", "uml_code_gt"
 DETAIL = (KEY, TRUTH, PRED, "uml_valid", "uml_error", "llm_failed")
-# A term key has at most 64 characters, so this many rows stay near 100 MB at the most.
-BROADCAST_TERMS = 1_000_000
+# A term key has at most 64 characters or 256 bytes, so this many rows stay below 100 MB.
+BROADCAST_TERMS = 300_000
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Add ``_pred`` and ``_ref``, the normal forms every measure works on."""
-    return spread(df, KEY).withColumns({"_pred": normalise_code(F.col(PRED)),
-                           "_ref": normalise_code(F.col(TRUTH))})
+    return df.withColumns({"_pred": normalise_code(F.col(PRED)), "_ref": normalise_code(F.col(TRUTH))})
 
 
 def sentence_bleu(df: DataFrame, out: str = "bleu") -> DataFrame:
@@ -50,9 +49,12 @@ def tfidf_cosine(
     ways. Frequent terms are broadcast: the threshold is the number of (text, term) uses
     over ``broadcast_terms``, so at most that many terms can reach it. All other terms are
     joined by shuffle, where none of them holds more than one ``broadcast_terms``-th of the
-    uses. A vocabulary that fits is broadcast whole and the second way reads nothing.
+    uses. A vocabulary that fits is broadcast whole.
+
+    The input is read once: its normal forms are written to the shared folder, and all
+    further passes read those. A row without any term in common with the other side has 0.
     """
-    texts = normalised(df).select(key, "_pred", "_ref")
+    texts = written(normalised(df).select(key, "_pred", "_ref"))
     # A text counts once per term, and each pair of rows has two texts.
     distinct = F.concat(*[F.array_distinct(vocabulary_terms(F.col(c))) for c in ("_pred", "_ref")])
     # The null test is what the join below adds by itself: stated here, every use of the
@@ -62,7 +64,7 @@ def tfidf_cosine(
         F.count(F.lit(1)).alias("df"))
     n_terms = vocabulary.agg(F.count(F.lit(1))).scalar()
     n_uses = vocabulary.agg(F.sum("df")).scalar()
-    n_texts = 2 * df.agg(F.count(F.lit(1))).scalar()
+    n_texts = 2 * texts.agg(F.count(F.lit(1))).scalar()
     fits = n_terms <= broadcast_terms
     threshold = F.when(fits, 0.0).otherwise(n_uses / broadcast_terms)
     weighted = vocabulary.select(
@@ -81,15 +83,14 @@ def tfidf_cosine(
     products = [(F.col("n_left") * F.col("n") * square).alias("lr"),
                 F.when(F.col("on_right"), 0.0).otherwise(own).alias("ll"),
                 F.when(F.col("on_right"), own).otherwise(0.0).alias("rr")]
-    none = [F.lit(0.0).alias(c) for c in ("lr", "ll", "rr")]
     # The entries of one row are still together, so the sums shrink to one record per row
-    # before the shuffle. The zero records keep texts without any term.
+    # before the shuffle.
     parts = terms(texts).join(frequent, "term").select(key, *products) \
-        .unionAll(rare_terms.join(rare, "term").select(key, *products)) \
-        .unionAll(df.select(key, *none))
+        .unionAll(rare_terms.join(rare, "term").select(key, *products))
     sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("lr", "ll", "rr")])
     norm = F.sqrt(F.col("ll") * F.col("rr"))
-    return sums.select(key, F.when(norm == 0, 0.0).otherwise(F.col("lr") / norm).alias(out))
+    return texts.select(key).join(sums, key, "left").select(
+        key, F.coalesce(F.when(norm != 0, F.col("lr") / norm), F.lit(0.0)).alias(out))
 
 
 def score_pairs(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gradeloom.constants import REQUEST_FILE_CAP
 from gradeloom.operators.batches import batch_gate, build_request
 from gradeloom.operators.chunks import chunk_sizes
-from gradeloom.operators.joins import attach_results, latest_response, merge_responses
+from gradeloom.operators.joins import latest_response, merge_responses
 from gradeloom.operators.reports import conversion_summary
 from gradeloom.sources.responses import read_batch_responses
 from gradeloom.sources.shards import read_shards, tag_split, with_row_index
@@ -38,7 +38,8 @@ def retrieve_batch(
 ) -> DataFrame:
     """Merge the response files into the dataset, write it and return its summary.
 
-    Stops while a batch is unfinished. ``validated`` may hold (row_idx, errors).
+    Stops while a batch is unfinished. ``validated`` may hold (row_idx, errors); otherwise every
+    answer is checked before it counts as valid.
     """
     if not batch_gate(manifest).first()["ready"]:
         raise RuntimeError("not all batches have completed; nothing was merged")
@@ -46,6 +47,6 @@ def retrieve_batch(
     latest = latest_response(read_batch_responses(spark, responses))
     if validated is not None:
         latest = latest.join(validated, "row_idx", "left")
-    merged = attach_results(source, merge_responses(source, latest))
+    merged = merge_responses(source, latest, keys=source.columns)
     write_results(merged, target, partition_by="split")
     return conversion_summary(spark.read.parquet(target))

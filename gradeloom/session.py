@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,28 +23,10 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="gradeloom-")
-    context.setCheckpointDir(own)
-    return own
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for row-local heavy work on an input of fewer files than cores.
-
-    A large input already comes in enough pieces and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,34 +20,44 @@ def response_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     file is cut into blocks, and inside a block the generated id grows with the position.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    sources = []
-    for order, path in enumerate(paths):
-        lines = spark.read.option("lineSep", "\n").text(path)
-        sources.append(lines.select(
-            F.col("value").alias("line"),
-            F.struct(F.lit(order).alias("listed"),
-                     F.col("_metadata.file_path").alias("file")).alias("file_ord"),
-            F.struct(F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("pos")).alias("line_no"),
-        ))
-    first, *rest = sources
-    for source in rest:
-        first = first.unionAll(source)
-    return first
-
-
-def parse_responses(lines: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    order = spark.createDataFrame(
+        [(_uri(spark, p), i) for i, p in enumerate(paths)], "path string, listed int").groupBy("path").agg(
+        F.min("listed").alias("listed"))
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("value").alias("line"), file.alias("file"), F.regexp_replace(file, "/[^/]*$", "").alias("folder"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("pos")).alias("line_no"))
+    by_file = order.select(F.col("path").alias("file"), F.col("listed").alias("_file"))
+    by_folder = order.select(F.col("path").alias("folder"), F.col("listed").alias("_folder"))
+    return lines.join(by_file, "file", "left").join(by_folder, "folder", "left").select(
+        "line", F.struct(F.coalesce("_file", "_folder").alias("listed"), "file").alias("file_ord"), "line_no")
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path as file metadata shows it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    full = named.getFileSystem(conf).makeQualified(named).toUri().toString()
+    return re.sub("^file:/+", "file:/", full)
+
+
+def parse_responses(lines: DataFrame, order: Sequence[str] = (), keep_unreadable: bool = False) -> DataFrame:
     """(row_idx, uml_code): cleaned text of successful responses, NULL for failed ones.
 
-    Blank lines are skipped. ``order`` names columns to carry along.
+    Blank lines are skipped. ``order`` names columns to carry along. A line that is no response
+    stops the job; with ``keep_unreadable`` it is kept in the column ``unreadable``.
     """
     parsed = lines.where(~F.col("line").rlike(rf"\A{SPACE}*\z")).select(
-        F.from_json("line", schemas.RESPONSE_LINE).alias("r"), *order)
+        "line", F.from_json("line", schemas.RESPONSE_LINE).alias("r"), *order)
+    unreadable = F.col("r.custom_id").isNull()
+    stop = F.raise_error(F.concat(F.lit("unreadable response line: "), F.left("line", F.lit(200)))).cast("long")
+    row_idx = parse_request_id(F.col("r.custom_id"))
     content = F.get(F.col("r.response.body.choices"), F.lit(0))["message"]["content"]
     return parsed.select(
-        parse_request_id(F.col("r.custom_id")).alias("row_idx"),
+        (row_idx if keep_unreadable else F.when(unreadable, stop).otherwise(row_idx)).alias("row_idx"),
         F.when(F.col("r.response.status_code") == 200, strip_think(content)).alias("uml_code"),
-        *order,
+        *order, *([F.when(unreadable, F.col("line")).alias("unreadable")] if keep_unreadable else []),
     )
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE_NAME = "_metadata.file_name"
-# One offset row per file is about 100 bytes, so this many stay within tens of megabytes.
-MAX_BROADCAST_FILES = 200_000
 
 
 def split_name(file_name: Column, sep: str = "-") -> Column:
@@ -55,16 +53,18 @@ def with_row_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
 
     The id is the row's position in its file plus the rows of all files before it. Only
     the table of per-file counts is ordered; the rows themselves are neither sorted nor
-    shuffled, and the id does not depend on how the scan is partitioned.
+    shuffled, and the id does not depend on how the scan is partitioned. Files may be left
+    out of ``df`` as a whole; if rows within a file are, the job fails instead of numbering
+    anew.
     """
     kept = df.columns
+    filtered = F.raise_error("row ids need every row of a file: filter after numbering")
     counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
-        F.count(F.lit(1)).alias("_rows"))
+        F.count(F.lit(1)).alias("_n"), (F.max("_metadata.row_index") + 1).alias("_rows")).select(
+        "_file", F.when(F.col("_n") == F.col("_rows"), F.col("_rows")).otherwise(filtered.cast("long")).alias("_rows"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (
         df.select("*", F.col("_metadata.file_path").alias("_file"),
                   F.col("_metadata.row_index").alias("_pos"))

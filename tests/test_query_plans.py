@@ -45,7 +45,7 @@ def test_flags_are_pushed_to_the_scan(spark, tmp_path):
 
 def test_row_local_scores_add_no_shuffle(spark, sf_dir):
     many = V.base_pairs(spark, sf_dir).selectExpr("row_idx", "uml_pred", "uml_code_gt")
-    before = physical(S.spread(many, "row_idx")).count("Exchange hashpartitioning")
+    before = physical(many).count("Exchange hashpartitioning")
     assert physical(S.sentence_bleu(many)).count("Exchange hashpartitioning") == before
 
 

@@ -18,7 +18,7 @@ from gradeloom.plans.compare import compare_models
 from gradeloom.plans.convert import retrieve_batch, submit_batch
 from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
-from gradeloom.sources.responses import read_batch_responses
+from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines
 from gradeloom.sources.shards import read_shards, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
@@ -228,7 +228,45 @@ def test_responses_last_one_wins(spark, tmp_path):
     source = spark.range(4).toDF("row_idx")
     merged = {r.row_idx: r for r in J.merge_responses(source, J.latest_response(read)).collect()}
     assert [merged[i].llm_failed for i in range(4)] == [False, False, True, True]
-    assert merged[3].uml_error == C.FAILED_IN_BATCH and merged[0].uml_valid
+    assert merged[3].uml_error == C.FAILED_IN_BATCH
+    assert not merged[0].uml_valid and merged[0].uml_error == C.PREFLIGHT_MISSING_START
+    drawn = spark.createDataFrame([(0, "@startuml a @enduml")], "row_idx long, uml_code string")
+    assert J.merge_responses(source, drawn).where("row_idx = 0").first().uml_valid
+
+
+def test_unreadable_responses_stop_or_are_kept(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(response(0, "x") + "\n{cut off\n")
+    lines = response_lines(spark, str(tmp_path))
+    with pytest.raises(Exception, match="unreadable response line"):
+        parse_responses(lines).collect()
+    kept = parse_responses(lines, keep_unreadable=True).collect()
+    assert {r.unreadable for r in kept} == {None, "{cut off"}
+
+
+def test_many_response_files_are_one_scan(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.jsonl").write_text(response(i, "x") + "\n")
+    paths = [str(tmp_path / f"{i}.jsonl") for i in reversed(range(30))]
+    lines = response_lines(spark, paths)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert [r.file_ord.listed for r in lines.orderBy("file_ord").collect()] == list(range(30))
+
+
+def test_ground_truth_needs_the_same_ids(spark):
+    pred = spark.createDataFrame([(0, "p", "o"), (1, "q", "o")], "row_idx long, uml_pred string, uml_code_gt string")
+    truth = spark.createDataFrame([(0, "a"), (7, "b")], "row_idx long, uml_code_gt string")
+    with pytest.raises(ValueError):
+        J.attach_ground_truth(pred, truth)
+
+
+def test_row_index_refuses_a_filtered_table(spark, shards):
+    with pytest.raises(Exception, match="filter after numbering"):
+        with_row_index(read_shards(spark, shards).where("tikz_code <> ' code 3 '")).collect()
+
+
+def test_labels_of_rows_without_batch(spark):
+    df = spark.createDataFrame([(None, [1, 2]), (1, [3])], "batch int, input_ids array<int>")
+    assert Q.mask_prompt_labels(df, [9], 0, batch="batch").count() == 2
 
 
 def test_a_later_failure_replaces_a_success(spark):
