@@ -9,6 +9,7 @@ suppressed; of equal intervals the better priority, then the earlier rule stays.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,7 +77,7 @@ class Rule:
 
 
 def _first(pattern: str) -> tuple[str, ...]:
-    head = pattern.split(" ")[0]
+    head = re.match(r"\(\?:[a-z0-9|]+\)|[a-z0-9]+", pattern)[0]
     return tuple(head.removeprefix("(?:").removesuffix(")").split("|"))
 
 

@@ -178,6 +178,8 @@ def fit_mixture(
     """
     known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").select("doc_id", "domain").distinct()
     names = sorted(weights) if weights else sorted(r.domain for r in known.select("domain").distinct().collect())
+    if not names:
+        return Mixture(Domains([], [], []), Rates(), []), table.drop("marks")
     model = fit_domains(table.join(known, "doc_id"), names)
     scored = stored(with_posteriors(table, model))
     goal: list[float] = []
