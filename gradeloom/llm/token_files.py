@@ -32,7 +32,7 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-WORDS, PIECES = 300_000, 150_000
+WORDS, PIECES = 120_000, 60_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
@@ -44,7 +44,10 @@ BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tok
 
 
 def _kept_here(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Tables of words and pieces that stay in the worker process for its next tasks."""
+    """Tables of words and pieces that stay in the worker process for its next tasks.
+
+    Tasks that encode nothing any more let them go.
+    """
     holder = sys.modules.setdefault("_token_tables", types.ModuleType("_token_tables"))
     return holder.__dict__.setdefault(path, ({}, {}))
 
@@ -309,6 +312,7 @@ def _write(spark: SparkSession, raw: DataFrame, path: str) -> TokenFile:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, codes = shared.value
+        sys.modules.pop("_token_tables", None)
         for batch in batches:
             for i in range(len(batch)):
                 bits, marks = encode_bits(_plain(batch.column("ids")[i].as_py()), size, codes)
@@ -339,6 +343,7 @@ def _read(spark: SparkSession, file: TokenFile, column: str, kind: pa.DataType,
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.modules.pop("_token_tables", None)
         for batch in batches:
             for i in range(len(batch)):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
