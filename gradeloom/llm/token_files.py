@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 import types
 import uuid
@@ -32,7 +33,7 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-WORDS, PIECES = 120_000, 60_000
+WORDS, PIECES = 150_000, 20_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
@@ -43,13 +44,27 @@ RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens
 BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, bits binary, marks binary"
 
 
-def _kept_here(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Tables of words and pieces that stay in the worker process for its next tasks.
+class _Tables:
+    """Ids of words, in a recent and an older generation of at most ``WORDS`` each, and of pieces.
+
+    Words in use move on to the recent generation, so rare ones do not push out frequent ones.
+    """
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+
+def _kept_here(path: str) -> _Tables:
+    """Tables that stay in the worker process for its next tasks.
 
     Tasks that encode nothing any more let them go.
     """
     holder = sys.modules.setdefault("_token_tables", types.ModuleType("_token_tables"))
-    return holder.__dict__.setdefault(path, ({}, {}))
+    if path not in holder.__dict__:
+        holder.__dict__[path] = _Tables()
+    return holder.__dict__[path]
 
 
 class Encoder:
@@ -72,7 +87,7 @@ class Encoder:
         self.by_piece = (
             model["type"] == "BPE" and not model.get("dropout") and before.get("type") == "ByteLevel"
             and before.get("use_regex") and not before.get("add_prefix_space") and about["normalizer"] is None)
-        self.words, self.pieces = _kept_here(path)
+        self.tables, self.merge = _kept_here(path), self.tokenizer.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -81,35 +96,53 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def word(self, word: str) -> bytes:
+    def merged(self, letters: str) -> bytes:
+        """Ids of a piece whose bytes are written as the model's letters."""
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def known_piece(self, piece: str) -> bytes:
+        known = self.tables.pieces
+        ids = known.get(piece)
+        if ids is None:
+            if len(known) >= PIECES:
+                known.clear()
+            ids = known[piece] = self.merged(piece.encode().decode("latin-1").translate(self.letters))
+        return ids
+
+    def new_word(self, word: str) -> bytes:
         """Ids of a blank and a word."""
+        core = word.rstrip(string.punctuation)
+        if core.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            # Letters are one piece, and so are the marks after them.
+            if len(core) < len(word):
+                return self.word(core) + self.known_piece(word[len(core):])
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return self.merged(self.letters[32] + letters)
         text = " " + word
         if not _PLAIN.fullmatch(word):
             return self.whole(text).tobytes()
-        out, known = [], self.pieces
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
+        return b"".join(map(self.known_piece, self.pattern.findall(text)))
+
+    def word(self, word: str) -> bytes:
+        tables = self.tables
+        ids = tables.recent.get(word)
+        if ids is None:
+            ids = tables.older.get(word)
             if ids is None:
-                if len(known) > PIECES:
-                    known.clear()
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-                ids = known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+                ids = self.new_word(word)
+            if len(tables.recent) >= WORDS:
+                tables.older, tables.recent = tables.recent, {}
+            tables.recent[word] = ids
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.by_piece or _LOOSE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        known = self.words
-        got = list(map(known.get, rest))
-        if None in got:
-            if len(known) > WORDS:
-                known.clear()
-            for i, ids in enumerate(got):
-                if ids is None:
-                    ids = known.get(rest[i])
-                    got[i] = known[rest[i]] = self.word(rest[i]) if ids is None else ids
+        got = list(map(self.tables.recent.get, rest))
+        for i, ids in enumerate(got):
+            if ids is None:
+                got[i] = self.word(rest[i])
         return np.frombuffer(self.whole(first).tobytes() + b"".join(got), np.uint32)
 
 
