@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words of the lower-cased text; A-Z are still in the text where words are taken from it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATES = ("license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "spdx", "cc",
+GATES = ("license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "spdx", "cc", "cc0",
          "permission", "redistribution", "domain", "copyleft", "wtfpl", "cddl", "eupl")
 _OTHER = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]"
 GATE = rf"(?i)(?:^|{_OTHER})(?:{'|'.join(GATES)})(?:$|{_OTHER})"

@@ -94,6 +94,24 @@ def test_license_rules_keep_their_bounds():
     assert len(licenses.RULES) > 300 and max(starts.values()) <= licenses.MOST_RULES
 
 
+def _expansions(pattern):
+    """Every string a rule's pattern stands for, with a digit for \\d."""
+    if (m := re.search(r"\(\?:([^()]*)\)(\??)", pattern)) or (m := re.search(r"\[([a-z])([a-z])\]", pattern)):
+        parts = m[1].split("|") + [""] * (m[2] == "?") if m[0][0] == "(" else [m[1], m[2]]
+        return {x for part in parts for x in _expansions(pattern[:m.start()] + part + pattern[m.end():])}
+    return {pattern.replace(r"\d", "4")}
+
+
+def test_every_license_phrase_has_a_gate_word(documents):
+    for rule in licenses.RULES:
+        for phrase in _expansions(rule.pattern):
+            assert re.fullmatch(rule.pattern, phrase) and set(phrase.split()) & set(licenses.GATES), phrase
+    texts = ["CC0", "(cc0-1.0)", "Released under CC0.", "distributed under the terms of the CC0", "acc0rd cc01"]
+    out = {r.doc_id: r for r in licenses.summarised(licenses.scanned(documents(list(enumerate(texts))))).collect()}
+    assert [out[i].labels for i in range(5)] == ["cc0"] * 4 + [""]
+    assert [out[i].score for i in range(5)] == [0.8, 0.8, 1.0, 1.0, 0.0]
+
+
 def test_license_suppression(documents, odd):
     text = "Licensed under the Apache License, Version 2.0 or MIT license MIT License"
     row = licenses.scanned(documents([(1, text)])).first()
