@@ -3,29 +3,30 @@
 The text view measures the whole text (character classes, repetition, word and line shapes), the
 metadata view the language, source and stated length. Each view has a logistic classifier. In
 every round each one labels the unlabelled documents of which it is sure, by a probability
-calibrated on labelled rows kept aside, and the surest of them join the training rows of the
-other view. In the end a logistic function of both calibrated views scores all documents.
+calibrated on labelled rows kept aside, and all of them join the labelled rows in training the
+other view, unless that one is as sure of the opposite. In the end a logistic function of both calibrated views scores all documents.
 
-Classifiers are fitted on the driver on at most ``max_labelled`` labelled rows and on
-``per_round`` pseudo-labels per round, view and class. Measuring, the search for confident
-documents and scoring run over all documents in parallel.
+At most ``max_labelled`` labelled rows are on the driver. Confident documents of any number take
+part where they are: the text view is fitted by Newton's method on sums over them, the metadata
+view on counts of its distinct feature vectors. Where they outnumber the labelled rows, they are
+weighted down to as much in all, so that they do not drown what is known.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.shared import stored
 from gradeloom.llm.words import encoded
 
-MAX_LABELLED, PER_ROUND, ROUNDS = 20_000, 500, 3
+MAX_LABELLED, ROUNDS = 20_000, 3
 SURE, KEEP_FROM = 0.95, 0.5
 CHARS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n\r", b"\t",
          b"!", b"|", b"%&$*#", b".", b",;:", b"?", b"'\"()[]{}", b"-_=+~^`", b"<>/\\@", bytes(range(0x80, 0x100)))
@@ -80,20 +81,55 @@ class Logistic:
         return z @ self.weights[:-1] + self.weights[-1]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-    """Newton's method with a ridge penalty; with no variation in ``y`` the smoothed base rate."""
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.hstack([np.clip((x - mean) / spread, -8, 8), np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+@dataclass
+class Sums:
+    """Rows that are elsewhere: how many, sums of their features and squares, and sums for a step.
+
+    ``newton`` maps a classifier to the Hessian and the gradient of the rows' loss.
+    """
+
+    n: float
+    x: np.ndarray
+    xx: np.ndarray
+    newton: Callable[[Logistic], tuple[np.ndarray, np.ndarray]]
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) / spread, -8, 8), np.ones((len(x), 1))])
+
+
+def newton_sums(model: Logistic, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the weighted loss of some rows."""
+    z = _standard(x, model.mean, model.spread)
+    p = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
+    return (z * (weight * p * (1 - p))[:, None]).T @ z, z.T @ (weight * (p - y))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarray | None = None,
+                 far: Sums | None = None, far_weight: float = 1.0) -> Logistic:
+    """Newton's method with a ridge penalty; with no variation in ``y`` the smoothed base rate.
+
+    ``weight`` counts the rows, each once if missing; ``far`` adds rows of weight ``far_weight``.
+    """
+    weight = np.ones(len(x)) if weight is None else weight
+    n, sums, squares = weight.sum(), weight @ x, weight @ x**2
+    if far is not None:
+        n, sums, squares = n + far_weight * far.n, sums + far_weight * far.x, squares + far_weight * far.xx
+    mean = sums / n
+    spread = np.maximum(np.sqrt(np.maximum(squares / n - mean**2, 0)), 1e-6)
+    model = Logistic(mean, spread, np.zeros(x.shape[1] + 1))
+    penalty = np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
-        w -= np.clip(step, -5, 5)
+        hessian, gradient = newton_sums(model, x, y, weight)
+        if far is not None:
+            more = far.newton(model)
+            hessian, gradient = hessian + far_weight * more[0], gradient + far_weight * more[1]
+        step = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * model.weights)
+        model.weights = model.weights - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return Logistic(mean, spread, w)
+    return model
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,37 +178,78 @@ def _matrix(rows: list, name: str, width: int) -> np.ndarray:
     return np.array([r[name] for r in rows], float).reshape(len(rows), width)
 
 
-def _confident(table: DataFrame, views: Views, taken: np.ndarray, per_round: int) -> list:
-    """The surest rows of each view and class that are not yet taken."""
+def _rows_of(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy().astype(float).reshape(len(batch), -1) for c in names]
+
+
+def taught(views: Views, t: np.ndarray, m: np.ndarray) -> dict[str, np.ndarray]:
+    """By the view that learns: 1 or 0 where the other view is sure of it, else -1.
+
+    A row on which the views contradict each other, both being sure, teaches neither.
+    """
+    said = {}
+    for view, logit in zip("tm", views.scores(t, m), strict=True):
+        p = _sigmoid(logit)
+        said[view] = np.where(np.maximum(p, 1 - p) >= SURE, p > 0.5, -1).astype(int)
+    clash = (said["t"] >= 0) & (said["m"] >= 0) & (said["t"] != said["m"])
+    return {learner: np.where(clash, -1, said[teacher]) for learner, teacher in (("m", "t"), ("t", "m"))}
+
+
+def _summed(pool: DataFrame, views: Views, of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of what ``of`` makes of the features and labels of all rows that teach the text view."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
             if not len(batch):
                 continue
-            t, m = (np.array(batch.column(c).to_pylist(), float) for c in "tm")
-            free = ~np.isin(batch.column("key").to_numpy(), taken)
-            for view, logit in zip("tm", views.scores(t, m), strict=True):
-                p = _sigmoid(logit)
-                sure = np.maximum(p, 1 - p)
-                at = np.flatnonzero(free & (sure >= SURE))
-                part = batch.take(pa.array(at)).select(["key", "t", "m"])
-                yield part.append_column("view", pa.array([view] * len(at), pa.string())).append_column(
-                    "good", pa.array((p[at] > 0.5).astype(np.int32))).append_column("sure", pa.array(sure[at]))
-    found = table.mapInArrow(
-        run, "key long, t array<float>, m array<float>, view string, good int, sure double")
-    # Each task ranks its own rows first and hands on no more than it may contribute.
-    rank = Window.partitionBy("view", "good").orderBy(F.desc("sure"), "key")
-    return found.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= per_round).collect()
+            t, m = _rows_of(batch, "t", "m")
+            y = taught(views, t, m)["t"]
+            found = of(t[y >= 0], y[y >= 0])
+            total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel() for a in total])])], ["v"])
+    parts = [np.array(r.v) for r in pool.mapInArrow(run, "v array<double>").collect()]
+    shapes = [a.shape for a in of(np.zeros((0, len(views.text.mean))), np.zeros(0))]
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    flat = sum(parts, np.zeros(ends[-1]))
+    return [part.reshape(s) for part, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def text_sums(pool: DataFrame, views: Views) -> Sums:
+    """All rows that teach the text view, as sums."""
+    n, x, xx = _summed(pool, views, lambda t, y: [np.array([float(len(t))]), t.sum(axis=0), (t**2).sum(axis=0)])
+    return Sums(float(n[0]), x, xx, lambda model: tuple(
+        _summed(pool, views, lambda t, y: list(newton_sums(model, t, y, np.ones(len(t)))))))
+
+
+def meta_counts(pool: DataFrame, views: Views) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features, label and count of all rows that teach the metadata view.
+
+    There are at most (LANGS + 1) * (SOURCES + 1) * (SIZES + 1) features, at any corpus size.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            t, m = _rows_of(batch, "t", "m")
+            y = taught(views, t, m)["m"]
+            rows, n = np.unique(np.column_stack([m, y])[y >= 0], axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.tobytes() for r in rows.astype(np.uint8)], pa.binary()), pa.array(n.astype(np.int64))], ["x", "n"])
+    found = sorted(pool.mapInArrow(run, "x binary, n long").groupBy("x").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.x)
+    rows = np.array([list(r.x) for r in found], float).reshape(len(found), len(views.meta.mean) + 1)
+    return rows[:, :-1], rows[:, -1], np.array([r.n for r in found], float)
 
 
 def fit_views(
-    table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
-    per_round: int = PER_ROUND, rounds: int = ROUNDS,
+    table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS,
 ) -> Views | float:
     """Co-train on a measured table and ``labels`` (doc_id, quality); the base rate if that has one class.
 
     Of repeated labels of a document the largest counts; other values than 0 and 1 and nulls do
     not. Beyond ``max_labelled`` labelled rows a share of them by hash is taken, and a quarter of
-    those taken serves for calibration.
+    those taken serves for calibration. The labels that views give each other in a round replace
+    those of the round before.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(
         F.max("quality").alias("y"))
@@ -187,25 +264,18 @@ def fit_views(
         return float(y.mean()) if len(y) else 1.0
     t = _matrix(rows, "t", len(text_features(b"")))
     m = _matrix(rows, "m", LANGS + SOURCES + SIZES)
-    sets = {"t": (t[~aside], y[~aside]), "m": (m[~aside], y[~aside])}
-    pool = table.join(known, "doc_id", "left_anti")
-    taken = np.empty(0, np.int64)
+    learn, n_learn = ~aside, int((~aside).sum())
+    text, meta = fit_logistic(t[learn], y[learn]), fit_logistic(m[learn], y[learn])
+    pool = stored(table.join(known, "doc_id", "left_anti").select("t", "m"))
     for turn in range(rounds + 1):
-        text, meta = fit_logistic(*sets["t"]), fit_logistic(*sets["m"])
         views = Views(text, meta, fit_logistic(text.logit(t[aside])[:, None], y[aside]),
                       fit_logistic(meta.logit(m[aside])[:, None], y[aside]))
         if turn == rounds:
             break
-        found = _confident(pool, views, taken, per_round)
-        said = {(r.key, r.view): r.good for r in found}
-        # A row on which the views contradict each other teaches neither.
-        found = [r for r in found if said.get((r.key, "m" if r.view == "t" else "t"), r.good) == r.good]
-        for view, teacher in (("m", "t"), ("t", "m")):
-            new = [r for r in found if r.view == teacher]
-            x, target = sets[view]
-            sets[view] = (np.vstack([x, _matrix(new, view, x.shape[1])]),
-                          np.concatenate([target, [r.good for r in new]]))
-        taken = np.unique(np.concatenate([taken, np.array([r.key for r in found], np.int64)]))
+        sums, (x, said, n) = text_sums(pool, views), meta_counts(pool, views)
+        text = fit_logistic(t[learn], y[learn], far=sums, far_weight=min(1.0, n_learn / max(sums.n, 1)))
+        meta = fit_logistic(np.vstack([m[learn], x]), np.concatenate([y[learn], said]), weight=np.concatenate(
+            [np.ones(n_learn), n * min(1.0, n_learn / max(n.sum(), 1))]))
     views.both = fit_logistic(np.column_stack(views.scores(t[aside], m[aside])), y[aside])
     return views
 

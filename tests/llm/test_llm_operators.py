@@ -50,6 +50,40 @@ def test_quality_is_learnt_and_held_out(spark, sf_dir, odd):
     assert quality.keep_good(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_every_confident_row_teaches(spark, sf_dir):
+    """Against a plain loop over all rows, where the surest ones are copies by the thousand."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("doc_id % 3 > 0")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    copies = docs.where("doc_id < 5").crossJoin(spark.range(1, 500)).withColumn("doc_id", F.col("id") * 10_000 + F.col("doc_id")).drop("id")
+    table = quality.stored(quality.measured(docs.unionByName(copies)))
+    got = quality.fit_views(table, labels)
+    known = {r.doc_id: r.y for r in labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y")).collect()}
+    rows = sorted(table.collect(), key=lambda r: (r.key, r.doc_id))
+    t, m = (np.array([r[c] for r in rows], float) for c in "tm")
+    y = np.array([known.get(r.doc_id, -1) for r in rows], float)
+    at = np.flatnonzero(y >= 0)
+    aside, learn, free = at[3::4], np.delete(at, np.s_[3::4]), np.flatnonzero(y < 0)
+    sets = {"t": (t[learn], y[learn], None), "m": (m[learn], y[learn], None)}
+    for turn in range(quality.ROUNDS + 1):
+        text, meta = (quality.fit_logistic(x, z, weight=w) for x, z, w in sets.values())
+        views = quality.Views(text, meta, quality.fit_logistic(text.logit(t[aside])[:, None], y[aside]),
+                              quality.fit_logistic(meta.logit(m[aside])[:, None], y[aside]))
+        if turn == quality.ROUNDS:
+            break
+        pt, pm = (1 / (1 + np.exp(-x)) for x in views.scores(t[free], m[free]))
+        for learner, all_x, own, other in (("t", t, pt, pm), ("m", m, pm, pt)):
+            use = [(i, p > 0.5) for i, o, p in zip(free, own, other, strict=True)
+                   if max(p, 1 - p) >= 0.95 and not (max(o, 1 - o) >= 0.95 and (o > 0.5) != (p > 0.5))]
+            new = [i for i, _ in use]
+            share = min(1.0, len(learn) / max(1, len(new)))
+            sets[learner] = (all_x[[*learn, *new]], np.array([*y[learn], *(z for _, z in use)], float),
+                             np.array([1.0] * len(learn) + [share] * len(new)))
+    assert len(new) > 2000
+    for a, b in ((got.text, views.text), (got.meta, views.meta)):
+        assert np.allclose(a.mean, b.mean, atol=1e-6) and np.allclose(a.weights, b.weights, atol=1e-4)
+
+
 def test_url_cascade_is_exact(spark, monkeypatch):
     hosts = [f"h{i}.example.org" for i in range(3000)]
     rows = [(i, f"http://{h.upper()}/a?b") for i, h in enumerate(hosts)] + [(-1, None), (-2, "no url"), (-3, "x://a.com#/q")]
