@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import (
-    decontaminate, fm_dedup, licenses, mixing, order_minhash, quality, simhash, token_files, tool_chat, url_filter,
+    decontaminate, fill_middle, fm_dedup, licenses, merkle, mixing, order_minhash, piece_tokens, quality, simhash,
+    token_files, tool_chat, url_filter,
 )
 from gradeloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +104,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transformed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(
+        table(spark, sf_dir, "documents"), F.replace("text", F.lit("\n"), F.lit("")),
+        F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run
 
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_url_filter, op3_tool_calls, op4_license_scan, op5_token_files,
         op6_order_minhash, op7_mixing_rates, op8_decontamination, op9_substring_dedup, op10_simhash,
+        op11_sentence_pieces, op12_fill_in_middle, op13_merkle_manifest,
     )} | {"pipeline": run}
 
 
@@ -224,6 +243,68 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         list_transform(range(0, 4), lambda k: CAST('0x' || substr(sha256('7:' || doc_id), 8 * k + 1, 8) AS BIGINT)) AS h
+  FROM documents),
+c AS (
+  SELECT doc_id, text, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a,
+         greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100
+              THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+cut AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS key, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    -- The register of CRC-32 after the digits of doc_id; each digit is followed by eight shifts.
+    list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: list_prepend(CAST(ascii(c) AS BIGINT), list_transform(range(0, 8), lambda x: CAST(-1 AS BIGINT)))))),
+      lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS register
+  FROM documents),
+f AS (
+  SELECT doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN register % 2 = 1 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+    END AS changed FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM f),
+nodes AS (
+  SELECT key, 0 AS l, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT key, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY key, l, i // 3),
+subroots AS (
+  SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS l, i, h, n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY l, i // 3),
+all_nodes AS (SELECT * FROM nodes UNION ALL SELECT NULL, l, i, h, n FROM tops),
+beside AS (
+  SELECT a.key, a.l, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM all_nodes a JOIN all_nodes b ON a.key IS NOT DISTINCT FROM b.key AND a.l = b.l AND a.i // 3 = b.i // 3
+  WHERE a.n > 1 GROUP BY a.key, a.l, a.i),
+low AS (
+  SELECT key, i AS leaf_i, 0 AS l, i, n, coalesce(changed, leaf) AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.key, leaf_i, w.l + 1, w.i // 3, (n + 2) // 3, sha256(lft || h || rgt), proof || lft || rgt
+  FROM low w JOIN beside s ON w.key = s.key AND w.l = s.l AND w.i = s.i WHERE n > 1),
+high AS (
+  SELECT w.key, leaf_i, 0 AS l, s.i, s.n, w.h, proof FROM low w JOIN subroots s ON w.key = s.key WHERE w.n = 1
+  UNION ALL
+  SELECT w.key, leaf_i, w.l + 1, w.i // 3, (n + 2) // 3, sha256(lft || h || rgt), proof || lft || rgt
+  FROM high w JOIN beside s ON s.key IS NULL AND w.l = s.l AND w.i = s.i WHERE n > 1)
+SELECT x.doc_id, x.leaf, r.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(y.proof) AS proof_sha256,
+  y.h AS folded_root, y.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves x JOIN subroots r USING (key) JOIN high y ON y.key = x.key AND y.leaf_i = x.i AND y.n = 1""",
 }
 
 
