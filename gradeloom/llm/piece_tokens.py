@@ -73,7 +73,9 @@ class PieceModel:
                 self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.judged: dict[int, bool] = {}
+        # Parts seen lately and a generation before: parts in use move on, rare ones fall away.
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text, step by step: the best union first, then the leftmost."""
@@ -162,11 +164,13 @@ class PieceModel:
         return self.surface(ids).removeprefix(" ")
 
     def _of_part(self, part: str) -> tuple[str, int, str]:
-        ids = self.part_ids(part.replace(" ", BLANK))
-        answer = "".join(f"{i} " for i in ids), len(ids), self.surface(ids)
+        answer = self.older.get(part)
+        if answer is None:
+            ids = self.part_ids(part.replace(" ", BLANK))
+            answer = "".join([f"{i} " for i in ids]), len(ids), self.surface(ids)
         if len(part) <= PART_CHARS:
             if len(self.known) >= PARTS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[part] = answer
         return answer
 
