@@ -334,6 +334,9 @@ def oracle_sql() -> dict[str, str]:
         "exclude_files": f"WITH {SHARDS} SELECT doc_id FROM shards",
         "tag_split": f"WITH {SHARDS} SELECT doc_id, split FROM shards",
         "dense_row_index": f"WITH {SHARDS} SELECT doc_id, split, row_idx FROM shards",
+        "filtered_row_index":
+            "SELECT doc_id, row_idx FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx"
+            " FROM documents) WHERE lang = 'en'",
         "union_shards": "SELECT doc_id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark",
         "read_eval_split":
             "SELECT 'chat' AS layout, octet_length(encode(text)) AS n_bytes, text AS uml_code_gt FROM"
@@ -376,6 +379,18 @@ def oracle_sql() -> dict[str, str]:
         "attach_ground_truth": over_pairs(
             "SELECT b.row_idx, b.uml_pred, upper(f.split) AS uml_code_gt FROM base b"
             " JOIN flagged f USING (row_idx)"),
+        "attach_ground_truth_by_position": over_pairs(
+            "SELECT b.row_idx AS key, b.uml_pred, upper(f.split) AS uml_code_gt FROM base b"
+            " JOIN flagged f USING (row_idx)"),
+        "benchmark_table":
+            f"WITH {RESPONSES}, answered AS (SELECT d.doc_id AS row_idx, d.source AS uml_code_gt, l.uml_code AS code,"
+            f" {trim_space('l.uml_code')} AS t FROM documents d LEFT JOIN latest l ON l.row_idx = d.doc_id),"
+            " judged AS (SELECT *, CASE WHEN code IS NULL THEN 'LLM failure' WHEN code = '' THEN 'Empty response'"
+            " WHEN NOT starts_with(t, '@startuml') THEN 'Missing @startuml' WHEN NOT ends_with(t, '@enduml')"
+            f" THEN 'Missing @enduml' WHEN {trim_space('substring(t, 10, length(t) - 16)')} = ''"
+            " THEN 'Empty diagram body' ELSE '' END AS uml_error FROM answered)"
+            " SELECT row_idx, uml_code_gt, coalesce(code, '') AS uml_pred, uml_error = '' AS uml_valid, uml_error,"
+            " code IS NULL AS llm_failed FROM judged",
         "latest_response": f"WITH {RESPONSES} SELECT row_idx, uml_code FROM latest",
         "merge_responses":
             f"WITH {RESPONSES}, answers AS (SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN '@startuml' || chr(10)"

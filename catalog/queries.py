@@ -23,6 +23,7 @@ from gradeloom.operators import reports as R
 from gradeloom.operators import results as O
 from gradeloom.operators import scoring as S
 from gradeloom.operators.chunks import chunk_sizes, plan_request_chunks
+from gradeloom.plans.benchmark import benchmark_rows
 from gradeloom.plans.compare import score_models
 from gradeloom.session import shared_dir, written
 from gradeloom.sources.responses import parse_responses
@@ -80,6 +81,13 @@ def dense_row_index(spark, sf_dir):
     return with_row_index(tag_split(V.shards(spark, sf_dir), sep="."))
 
 
+@query()
+def filtered_row_index(spark, sf_dir):
+    """Numbering after a filter gives the ids of the whole table."""
+    docs = read_shards(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"])
+    return with_row_index(docs.where("lang = 'en'")).select("doc_id", "row_idx")
+
+
 @query("union_shards")
 def union_shards_rows(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -197,6 +205,30 @@ def attach_ground_truth(spark, sf_dir):
         "row_idx", "uml_pred", "uml_code_gt")
 
 
+def _files(df: DataFrame, order: str, files: int) -> DataFrame:
+    """The table as ``files`` files in row order, without its order column, read again."""
+    path = _folder(df.sparkSession)
+    df.repartitionByRange(files, order).sortWithinPartitions(order).drop(order).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query()
+def attach_ground_truth_by_position(spark, sf_dir):
+    """Predictions and truth in files cut at different rows, neither with row ids."""
+    predictions = V.base_pairs(spark, sf_dir).select("row_idx", F.col("row_idx").alias("key"), "uml_pred", "uml_code_gt")
+    truth = V.flagged(spark, sf_dir).select("row_idx", F.upper("split").alias("uml_code"))
+    return J.attach_ground_truth_by_position(
+        _files(predictions, "row_idx", 3), _files(truth, "row_idx", 7)).select("key", "uml_pred", "uml_code_gt")
+
+
+@query()
+def benchmark_table(spark, sf_dir):
+    rows = V.flagged(spark, sf_dir)
+    split = eval_split(rows.select("row_idx", F.col("text").cast("binary").alias("image_bytes"),
+                                   F.col("split").alias("uml_code")))
+    return benchmark_rows(split, latest_response(spark, sf_dir))
+
+
 @query()
 def latest_response(spark, sf_dir):
     return J.latest_response(parse_responses(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE_NAME = "_metadata.file_name"
+# So many paths, of up to a few hundred bytes each, stay below 100 MB.
+BROADCAST_FILES = 200_000
 
 
 def split_name(file_name: Column, sep: str = "-") -> Column:
@@ -22,6 +26,11 @@ def exclude_files(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.where(~F.col(FILE_NAME).isin(names)) if names else df
 
 
+def _files(df: DataFrame) -> list[str]:
+    """Paths of all files of the scan, in the order of the row ids."""
+    return sorted(unquote(f) for f in df.inputFiles())
+
+
 def read_shards(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -31,16 +40,25 @@ def read_shards(
 ) -> DataFrame:
     """All Parquet shards under ``path``, only the listed columns read.
 
-    File metadata stays available, so ``tag_split`` and ``with_row_index`` can follow.
+    Files named in ``exclude`` are no part of the table. File metadata stays available, so
+    ``tag_split`` and ``with_row_index`` can follow.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("pathGlobFilter", "*.parquet")
-    df = (reader.schema(schema) if schema is not None else reader).parquet(*paths)
-    left_out = set(exclude)
+
+    def read(*found: str, **options: str) -> DataFrame:
+        reader = spark.read.option("pathGlobFilter", "*.parquet").options(**options)
+        return (reader.schema(schema) if schema is not None else reader).parquet(*found)
+
+    df = read(*paths)
     # The file list is the scan's own; no data is read here.
-    if not any(f.rsplit("/", 1)[-1] not in left_out for f in df.inputFiles()):
+    files, left_out = _files(df), set(exclude)
+    kept = [f for f in files if f.rsplit("/", 1)[-1] not in left_out]
+    if not kept:
         raise FileNotFoundError(f"no parquet files under {', '.join(paths)}")
-    df = exclude_files(df, left_out)
+    if len(kept) < len(files):
+        # Columns named by folders are found relative to the folder that was asked for.
+        folder = len(paths) == 1 and not re.search(r"[*?\[{]", path := paths[0])
+        df = read(*kept, **({"basePath": path} if folder else {}))
     return df.select(*columns) if columns else df
 
 
@@ -48,23 +66,42 @@ def tag_split(df: DataFrame, sep: str = "-") -> DataFrame:
     return df.withColumn("split", split_name(F.col(FILE_NAME), sep))
 
 
+def file_offsets(df: DataFrame) -> DataFrame:
+    """(file, rows, offset) of every file ``df`` is read from, filters of ``df`` set aside.
+
+    The row counts come from the files' footers: this pass reads no column. ``offset`` counts
+    the rows of all files before, in path order.
+    """
+    files = _files(df)
+    none = T.StructType([T.StructField("none", T.BooleanType())])
+    counts = df.sparkSession.read.schema(none).parquet(*files).groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # One row per file.
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("file", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+
+
+def table_rows(df: DataFrame) -> int:
+    """Rows of the files ``df`` is read from, filters of ``df`` set aside."""
+    return file_offsets(df).agg(F.sum("rows")).first()[0] or 0
+
+
 def with_row_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """Dense 0-based row ids in (file path, position in file) order.
 
     The id is the row's position in its file plus the rows of all files before it. Only
     the table of per-file counts is ordered; the rows themselves are neither sorted nor
-    shuffled, and the id does not depend on how the scan is partitioned. Files may be left
-    out of ``df`` as a whole; if rows within a file are, the job fails instead of numbering
-    anew.
+    shuffled, and the id does not depend on how the scan is partitioned. Rows filtered away
+    before keep their numbers: a filtered table has the ids of the whole one.
     """
+    n_files = len(df.inputFiles())
+    if not n_files:
+        # Planned without a scan, so it is known to be empty.
+        return df.withColumn(out, F.lit(None).cast("long"))
     kept = df.columns
-    filtered = F.raise_error("row ids need every row of a file: filter after numbering")
-    counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("_metadata.row_index") + 1).alias("_rows")).select(
-        "_file", F.when(F.col("_n") == F.col("_rows"), F.col("_rows")).otherwise(filtered.cast("long")).alias("_rows"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    offsets = file_offsets(df).select(F.col("file").alias("_file"), F.col("offset").alias("_offset"))
+    # A path and two numbers per file. Estimates see the files' bytes, not their number.
+    offsets = F.broadcast(offsets) if n_files <= BROADCAST_FILES else offsets
     return (
         df.select("*", F.col("_metadata.file_path").alias("_file"),
                   F.col("_metadata.row_index").alias("_pos"))

@@ -50,6 +50,11 @@ def ground_truth(df: DataFrame) -> DataFrame:
     return df.select(*keep, truth.alias("uml_code_gt"))
 
 
+def reference_texts(df: DataFrame) -> DataFrame:
+    """A table that has ``uml_code_gt`` already, or its ``ground_truth``."""
+    return df if "uml_code_gt" in df.columns else ground_truth(df)
+
+
 def _indexed(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df if "row_idx" in df.columns else with_row_index(df)
@@ -61,3 +66,8 @@ def read_eval_split(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return ground_truth(_indexed(spark, path))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of one model; rows without ids are numbered by position."""
+    return _indexed(spark, path)

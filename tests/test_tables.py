@@ -14,12 +14,13 @@ from gradeloom.operators import joins as J
 from gradeloom.operators import results as O
 from gradeloom.operators.batches import build_request
 from gradeloom.operators.chunks import chunk_sizes, plan_request_chunks
+from gradeloom.plans.benchmark import run_benchmark
 from gradeloom.plans.compare import compare_models
 from gradeloom.plans.convert import retrieve_batch, submit_batch
 from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
 from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines
-from gradeloom.sources.shards import read_shards, tag_split, with_row_index
+from gradeloom.sources.shards import file_offsets, read_shards, table_rows, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
 from gradeloom.streaming.ingest import ingest_responses, read_ingested
@@ -259,9 +260,87 @@ def test_ground_truth_needs_the_same_ids(spark):
         J.attach_ground_truth(pred, truth)
 
 
-def test_row_index_refuses_a_filtered_table(spark, shards):
-    with pytest.raises(Exception, match="filter after numbering"):
-        with_row_index(read_shards(spark, shards).where("tikz_code <> ' code 3 '")).collect()
+@pytest.mark.parametrize("condition", ["tikz_code <> ' code 3 '", "tikz_code IN (' code 0 ', ' code 1 ')", "tool = 'none'", "false"])
+def test_filtered_rows_keep_the_ids_of_the_whole_table(spark, shards, condition):
+    whole = {r.tikz_code: r.row_idx for r in with_row_index(read_shards(spark, shards)).collect()}
+    rows = with_row_index(read_shards(spark, shards).where(condition)).collect()
+    assert len(rows) == read_shards(spark, shards).where(condition).count()
+    assert all(whole[r.tikz_code] == r.row_idx for r in rows)
+
+
+def test_footers_are_counted_without_reading_columns(spark, shards):
+    df = read_shards(spark, shards).where("tikz_code = ' code 9 '")
+    assert table_rows(df) == 15
+    plan = file_offsets(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
+def test_excluded_files_keep_folder_columns(spark, tmp_path):
+    for split in ("a", "b"):
+        spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/part=x {split}")
+    name = read_shards(spark, str(tmp_path)).where("part = 'x a'").select("_metadata.file_name").first()[0]
+    kept = read_shards(spark, str(tmp_path), exclude=[name])
+    assert [r.part for r in kept.select("part").distinct().collect()] == ["x b"] and kept.count() == 3
+
+
+def in_files(spark, folder, rows, schema, sizes):
+    start = 0
+    for i, n in enumerate(sizes):
+        spark.createDataFrame(rows[start:start + n], schema).coalesce(1).write.parquet(f"{folder}/{i:03d}")
+        start += n
+    return spark.read.parquet(*[f"{folder}/{i:03d}" for i in range(len(sizes))])
+
+
+def test_truth_is_attached_by_position(spark, tmp_path):
+    """Other file borders on either side, the predictions' ids and old truth left behind."""
+    pred = in_files(spark, tmp_path / "p", [(f"p{i}", "old") for i in range(20)], "uml_pred string, uml_code_gt string", [3, 9, 8])
+    truth = in_files(spark, tmp_path / "t", [(f"t{i}",) for i in range(20)], "uml_code string", [10, 1, 4, 5])
+    got = J.attach_ground_truth_by_position(pred, truth)
+    assert sorted((r.row_idx, r.uml_pred, r.uml_code_gt) for r in got.collect()) == [(i, f"p{i}", f"t{i}") for i in range(20)]
+    some = J.attach_ground_truth_by_position(pred.where("uml_pred LIKE '%7'"), truth)
+    assert sorted(r.uml_code_gt for r in some.collect()) == ["t17", "t7"]
+    short = in_files(spark, tmp_path / "s", [(f"t{i}",) for i in range(19)], "uml_code string", [19])
+    with pytest.raises(ValueError, match="20 rows on one side and 19"):
+        J.attach_ground_truth_by_position(pred, short)
+
+
+def test_models_without_ids_are_compared(spark, tmp_path):
+    schema = "uml_pred string, uml_valid boolean, uml_error string, llm_failed boolean"
+    rows = [(f"@startuml\na{i} b\n@enduml", True, "", False) for i in range(6)]
+    base = in_files(spark, tmp_path / "b", rows, schema, [2, 4])
+    tuned = in_files(spark, tmp_path / "f", rows[::-1], schema, [5, 1])
+    truth = in_files(spark, tmp_path / "t", [(f"a{i} b",) for i in range(6)], "uml_code string", [1, 5])
+    reports = compare_models(base, tuned, truth, str(tmp_path / "out"))
+    means = {r.model: r.exact_match for r in reports["metric_means"].collect()}
+    assert means == {"base": 1.0, "finetuned": 0.0}
+
+
+def test_benchmark_job(spark, tmp_path):
+    split = spark.createDataFrame([(b"1", "a"), (b"2", "b"), (b"3", "c"), (b"4", "d")], "image_bytes binary, uml_code string")
+    split.coalesce(1).write.parquet(f"{tmp_path}/split")
+    answers = spark.createDataFrame([(0, "@startuml x @enduml"), (1, "no"), (2, None)], "row_idx long, uml_code string")
+    reports = run_benchmark(spark, f"{tmp_path}/split", answers, f"{tmp_path}/out")
+    summary = reports["summary"].first()
+    assert (summary.n, summary.valid, summary.llm_failures, summary.invalid) == (4, 1, 2, 1)
+    assert [(r.uml_error, r.n_rows) for r in reports["top_errors"].collect()] == [(C.MISSING_START, 1)]
+    rows = {r.row_idx: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert [rows[i].uml_code_gt for i in range(4)] == ["a", "b", "c", "d"] and rows[3].llm_failed and rows[2].uml_pred == ""
+
+
+def test_null_ids_are_refused(spark):
+    pred = spark.createDataFrame([(None, "p", "o"), (1, "q", "o")], "row_idx long, uml_pred string, uml_code_gt string")
+    truth = spark.createDataFrame([(None, "a"), (1, "b")], "row_idx long, uml_code_gt string")
+    with pytest.raises(ValueError, match="NULL"):
+        J.attach_ground_truth(pred, truth)
+
+
+def test_answers_missing_from_validation_are_checked(spark):
+    source = spark.range(3).toDF("row_idx")
+    answers = spark.createDataFrame([(0, "no diagram", None), (1, "no diagram", []), (2, "x", ["bad"])],
+                                    "row_idx long, uml_code string, errors array<string>")
+    rows = {r.row_idx: r for r in J.merge_responses(source, answers).collect()}
+    assert [rows[i].uml_valid for i in range(3)] == [False, True, False]
+    assert rows[0].uml_error == C.PREFLIGHT_MISSING_START
 
 
 def test_labels_of_rows_without_batch(spark):
