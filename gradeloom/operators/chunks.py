@@ -8,8 +8,12 @@ carried bytes plus the stretch's own. Functions of neighbouring stretches compos
 
 So: blocks of consecutive rows are summarised in parallel, summaries are composed
 ``fan_in`` at a time up to one, the carried bytes are handed back down, and every block then
-packs its own rows. Only (row_idx, bytes) travels, and no task holds more than one block or
-``fan_in`` summaries.
+lists the rows at which its parts start. Only (row_idx, bytes) travels, and no task holds more
+than one block or ``fan_in`` summaries. Inside a block, where a part started at any row leads is
+found for all rows at once by doubling the step: no Python runs per row.
+
+The starts, one short list per block, are an index of intervals: a row finds its part by its
+block, so rows of any width are never moved to be told their part.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import REQUEST_FILE_CAP
+from gradeloom.session import written
 
 # The functions below travel to the executors whole, which need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,22 +37,39 @@ FAN_IN = 16
 
 PIECES = "block long, low long, out long, grows boolean, closed long"
 STATE = "block long, carry long, part long"
-PLAN = "row_idx long, bytes long, part long"
+INDEX = "block long, part long, starts array<long>"
+# Two numbers per block and one per part stay below 100 MB.
+BROADCAST_ENTRIES = 4_000_000
+
+
+def _after(sizes: np.ndarray, cap: int) -> np.ndarray:
+    """For a part starting at each row: the row at which the next part starts."""
+    total = np.cumsum(sizes)
+    return np.maximum(np.searchsorted(total, total - sizes + cap, side="right"), np.arange(len(sizes)) + 1)
 
 
-def _chain(sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a part starting at each row: next start, bytes left open at the end, parts closed."""
+def _chain(sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a part starting at each row: bytes left open at the end, parts closed."""
+    after, rows = _after(sizes, cap), np.arange(len(sizes))
+    last, closed = np.where(after < len(sizes), after, rows), (after < len(sizes)).astype(np.int64)
+    # Each round doubles the number of parts a step passes over, until all steps end.
+    while (further := last[last]).tolist() != last.tolist():
+        closed = closed + closed[last]
+        last = further
     total = np.cumsum(sizes)
-    start = total - sizes
-    after = np.maximum(np.searchsorted(total, start + cap, side="right"),
-                       np.arange(len(sizes)) + 1)
-    left = np.minimum(total[-1] - start, cap)
-    closed = np.zeros(len(sizes), dtype=np.int64)
-    for i in range(len(sizes) - 1, -1, -1):
-        j = after[i]
-        if j < len(sizes):
-            left[i], closed[i] = left[j], closed[j] + 1
-    return after, left, closed
+    return np.minimum(total[-1] - (total - sizes)[last], cap), closed
+
+
+def _starts(sizes: np.ndarray, first: int, cap: int) -> np.ndarray:
+    """All rows at which parts start, when one starts at row ``first``."""
+    n = len(sizes)
+    jump = np.append(_after(sizes, cap), n)
+    starts = np.array([first])
+    while jump[first] < n:
+        # ``starts`` holds the first parts, ``jump`` skips as many.
+        found = jump[starts]
+        starts, jump = np.append(starts, found[found < n]), jump[jump]
+    return starts[starts < n]
 
 
 def _compact(low, out, grows, closed):
@@ -64,7 +86,7 @@ def summarise(sizes: np.ndarray, cap: int):
     first row starts one without closing any.
     """
     total = np.cumsum(sizes)
-    _, left, closed = _chain(sizes, cap)
+    left, closed = _chain(sizes, cap)
     # The row at which the carried part closes; later rows belong to smaller carries.
     at = np.arange(min(int(np.searchsorted(total, cap)), len(sizes) - 1), -1, -1)
     low = np.maximum(cap - total[at] + 1, 1)
@@ -109,18 +131,10 @@ def compose(first, second, cap: int):
     return _compact(*(p[order] for p in joined))
 
 
-def assign(sizes: np.ndarray, carry: int, part: int, cap: int) -> np.ndarray:
-    """Part number of every row of a block."""
-    total = np.cumsum(sizes)
-    after, _, _ = _chain(sizes, cap)
-    result = np.full(len(sizes), part, dtype=np.int64)
-    at = int(np.searchsorted(total, cap - carry, side="right")) if carry else 0
-    if carry:
-        part += 1
-    while at < len(sizes):
-        result[at:after[at]] = part
-        at, part = int(after[at]), part + 1
-    return result
+def starts(sizes: np.ndarray, carry: int, cap: int) -> np.ndarray:
+    """The rows of a block at which parts start."""
+    first = int(np.searchsorted(np.cumsum(sizes), cap - carry, side="right")) if carry else 0
+    return _starts(sizes, first, cap)
 
 
 def _rows(block: int, pieces) -> pd.DataFrame:
@@ -134,21 +148,29 @@ def _pieces(pdf: pd.DataFrame):
     return tuple(pdf[c].to_numpy() for c in ("low", "out", "grows", "closed"))
 
 
-def plan_request_chunks(
+def _sizes(lines: DataFrame, block_rows: int) -> DataFrame:
+    return lines.select(
+        F.col("row_idx").cast("long").alias("row_idx"),
+        (F.octet_length("line") + 1).cast("long").alias("bytes"), _block(block_rows).alias("block"))
+
+
+def _block(block_rows: int) -> Column:
+    return F.floor(F.col("row_idx") / block_rows).cast("long")
+
+
+def part_index(
     lines: DataFrame,
     cap: int = REQUEST_FILE_CAP,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """(row_idx, bytes, part) for (row_idx, line): next-fit parts in row order.
+    """(block, part, starts) for (row_idx, line): next-fit parts in row order.
 
-    A line counts its newline. A line above the cap gets a part of its own.
+    ``starts`` lists the rows of the block that start a part; ``part`` is the number of the part
+    before the first of them. A line counts its newline. A line above the cap gets a part of
+    its own.
     """
-    sizes = lines.select(
-        F.col("row_idx").cast("long").alias("row_idx"),
-        (F.octet_length("line") + 1).cast("long").alias("bytes"),
-        F.floor(F.col("row_idx") / block_rows).cast("long").alias("block"),
-    )
+    sizes = _sizes(lines, block_rows)
 
     def leaf(key, pdf):
         return _rows(key[0], summarise(pdf.sort_values("row_idx")["bytes"].to_numpy(), cap))
@@ -168,13 +190,15 @@ def plan_request_chunks(
             part += closed[0]
         return pd.DataFrame(rows, columns=["block", "carry", "part"])
 
-    def pack(_, pdf, states):
+    def list_starts(key, pdf, states):
+        if pdf.empty or states.empty:
+            return pd.DataFrame()
         pdf = pdf.sort_values("row_idx")
-        if pdf.empty:
-            return pdf.assign(part=0)[["row_idx", "bytes", "part"]]
-        pdf["part"] = assign(pdf["bytes"].to_numpy(), int(states["carry"][0]),
-                             int(states["part"][0]), cap)
-        return pdf[["row_idx", "bytes", "part"]]
+        carry, part = int(states["carry"][0]), int(states["part"][0])
+        at = starts(pdf["bytes"].to_numpy(), carry, cap)
+        # Where nothing is carried in, the first row itself starts the numbered part.
+        return pd.DataFrame({"block": [key[0]], "part": [part if carry else part - 1],
+                             "starts": [pdf["row_idx"].to_numpy()[at]]})
 
     # One row decides how many levels of composition there are.
     last = sizes.agg(F.max("block")).first()[0] or 0
@@ -191,7 +215,32 @@ def plan_request_chunks(
     for level in reversed(levels):
         state = level.groupBy(parent.alias("parent")).cogroup(
             state.groupBy("block")).applyInPandas(hand_down, STATE)
-    return sizes.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(pack, PLAN)
+    return sizes.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(list_starts, INDEX)
+
+
+def with_part(rows: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``part`` to rows with ``row_idx``, from a written ``part_index``.
+
+    The index is broadcast when it is short enough; beyond that it is joined by block.
+    """
+    entries = index.agg(F.sum(F.size("starts") + 2)).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        index = F.broadcast(index)
+    started = F.size(F.filter("_starts", lambda s: s <= F.col("row_idx")))
+    return rows.withColumn("_block", _block(block_rows)).join(
+        index.select(F.col("block").alias("_block"), F.col("part").alias("_part"), F.col("starts").alias("_starts")),
+        "_block").withColumn("part", F.col("_part") + started).drop("_block", "_part", "_starts")
+
+
+def plan_request_chunks(
+    lines: DataFrame,
+    cap: int = REQUEST_FILE_CAP,
+    block_rows: int = BLOCK_ROWS,
+    fan_in: int = FAN_IN,
+) -> DataFrame:
+    """(row_idx, bytes, part) for (row_idx, line): next-fit parts in row order."""
+    index = written(part_index(lines, cap, block_rows, fan_in))
+    return with_part(_sizes(lines, block_rows).drop("block"), index, block_rows)
 
 
 def chunk_sizes(plan: DataFrame) -> DataFrame:

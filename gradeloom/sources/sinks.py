@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import REQUEST_FILE_CAP
-from gradeloom.operators.chunks import plan_request_chunks
+from gradeloom.operators.chunks import BLOCK_ROWS, FAN_IN, part_index, with_part
+from gradeloom.session import written
 
 LONG_TEXT = ("uml_code_gt", "uml_pred")
 
@@ -32,18 +33,18 @@ def write_detail_csv(df: DataFrame, path: str) -> None:
 
 
 def write_request_chunks(
-    lines: DataFrame, path: str, cap: int = REQUEST_FILE_CAP, **planning
+    lines: DataFrame, path: str, cap: int = REQUEST_FILE_CAP,
+    block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Write (row_idx, line) as text files of at most ``cap`` bytes, in row order.
 
-    Each part becomes ``part=<n>/`` with one file, so a task holds one part at a time.
-    Returns the plan: row_idx, bytes, part.
+    Each part becomes ``part=<n>/`` with one file, so a task holds one part at a time. The lines
+    are shuffled once, to their parts. Returns the plan: row_idx, bytes, part.
     """
     usable = lines.where(F.col("line").isNotNull()).select("row_idx", "line")
-    plan = plan_request_chunks(usable, cap, **planning)
-    # Two integers per row on the hashed side, so the lines are not sorted for the join.
-    (usable.join(plan.select("row_idx", "part").hint("shuffle_hash"), "row_idx")
-     .repartition("part").sortWithinPartitions("part", "row_idx")
+    index = written(part_index(usable, cap, block_rows, fan_in))
+    parts = with_part(usable, index, block_rows)
+    (parts.repartition("part").sortWithinPartitions("part", "row_idx")
      .select("part", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("part").option("lineSep", "\n").text(path))
-    return plan
+    return parts.select("row_idx", (F.octet_length("line") + 1).cast("long").alias("bytes"), "part")

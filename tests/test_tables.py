@@ -5,10 +5,12 @@ import struct
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom import constants as C
+from gradeloom.operators import chunks
 from gradeloom.operators import curation as Q
 from gradeloom.operators import joins as J
 from gradeloom.operators import results as O
@@ -178,6 +180,37 @@ def test_chunks_equal_one_sequential_pass(spark, sizes, cap, block_rows, fan_in)
     assert [r.part for r in plan] == next_fit(sizes, cap)
 
 
+def test_starts_are_found_by_doubling():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes, cap = rng.integers(1, 30, rng.integers(1, 80)), int(rng.integers(1, 90))
+        for carry in (0, int(rng.integers(1, cap + 1))):
+            parts, part, held = [], 0, carry
+            for i, size in enumerate(sizes.tolist()):
+                if held + size > cap and held or not held and not i:
+                    parts.append(i)
+                    held = 0
+                held += size
+            assert chunks.starts(sizes, carry, cap).tolist() == parts
+        left, closed = chunks._chain(sizes, cap)
+        for first in range(len(sizes)):
+            parts = next_fit(sizes[first:].tolist(), cap)
+            open_bytes = sum(x for x, q in zip(sizes[first:].tolist(), parts) if q == parts[-1])
+            assert (left[first], closed[first]) == (min(open_bytes, cap), parts[-1])
+
+
+@pytest.mark.parametrize("entries", [0, 10**6])
+def test_request_lines_move_once(spark, tmp_path, monkeypatch, entries):
+    """The index is broadcast when short; parts are the same when it is joined by block."""
+    monkeypatch.setattr(chunks, "BROADCAST_ENTRIES", entries)
+    sizes = [(i * 37) % 23 + 1 for i in range(200)]
+    lines = spark.createDataFrame([(i, "x" * (n - 1)) for i, n in enumerate(sizes)], "row_idx long, line string")
+    plan = write_request_chunks(lines, str(tmp_path / "out"), cap=50, block_rows=16, fan_in=3)
+    assert [r.part for r in plan.orderBy("row_idx").collect()] == next_fit(sizes, 50)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert entries == 0 or ("BroadcastHashJoin" in text and "hashpartitioning" not in text)
+
+
 def test_chunks_of_nothing(spark):
     assert plan_request_chunks(spark.createDataFrame([], "row_idx long, line string")).count() == 0
 
