@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+from catalog import views
 from catalog.queries import queries
 from gradeloom.session import local_session
 
@@ -20,7 +21,9 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_MEMORY", "12g"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "12g"))
+    views.DEALT = int(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     available = queries()
     available["split_sizes"](spark, sf_dir).collect()  # starts the session's workers
@@ -32,7 +35,7 @@ def main() -> None:
     spark.stop()
     print(json.dumps({
         "metric": "total wall time of headline queries", "value": round(sum(seconds.values()), 3),
-        "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf"),
+        "unit": "sec", "queries": seconds, "pairs_dealt_to": views.DEALT, "sf": os.path.basename(sf_dir).removeprefix("sf"),
     }))
 
 

@@ -41,6 +41,13 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGS = ("uml_valid", "uml_error", "llm_failed")
+# A table of one row group is one task. The benchmark deals the pairs out to this many; a table
+# of many files needs no such step, and no query takes it.
+DEALT: int | None = None
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(DEALT) if DEALT else rows
 
 
 def base_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +55,9 @@ def base_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flagged(spark, sf_dir)
     following = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") - 1).alias("row_idx"), F.col("text").alias("uml_pred"))
-    return rows.join(following, "row_idx", "left").select(
+    return _dealt(rows.join(following, "row_idx", "left").select(
         "row_idx", F.coalesce("uml_pred", F.lit("")).alias("uml_pred"),
-        F.col("text").alias("uml_code_gt"), *FLAGS)
+        F.col("text").alias("uml_code_gt"), *FLAGS))
 
 
 def finetuned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +67,10 @@ def finetuned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.concat(F.lit("@startuml\n"), F.replace("text", F.lit(" "), F.lit("  ")),
                     F.lit("\n@enduml"))
     valid = F.col("uml_valid") | (kind == 0)
-    return flagged(spark, sf_dir).select(
+    return _dealt(flagged(spark, sf_dir).select(
         "row_idx", F.when(kind == 0, same).when(kind == 1, half).otherwise("").alias("uml_pred"),
         F.col("text").alias("uml_code_gt"), valid.alias("uml_valid"),
-        F.when(valid, "").otherwise(F.col("uml_error")).alias("uml_error"), "llm_failed")
+        F.when(valid, "").otherwise(F.col("uml_error")).alias("uml_error"), "llm_failed"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

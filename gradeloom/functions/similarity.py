@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.functions.arrays import let, ngrams, paired_bag, shared_count
+from gradeloom.functions.arrays import let, paired_bag
+from gradeloom.functions.ngrams import bleu_of_batch
 from gradeloom.functions.text import words
 
-MAX_ORDER = 4
-
 # The published 13a tokenisation, in order. Its first rule also lists the
 # blank, which is left out: the blanks it adds around a blank vanish when splitting.
 TOKEN_ENTITIES = (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
@@ -54,51 +54,25 @@ def token_prf(pred_norm: Column, ref_norm: Column) -> Column:
     return let(counted, scores)
 
 
-def metric_tokens(text_norm: Column) -> Column:
-    """Tokens of the 13a scheme of machine-translation scoring."""
+def spaced_tokens(text_norm: Column) -> Column:
+    """The text with blanks between the tokens of the 13a scheme of machine-translation scoring."""
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), TOKEN_ENTITIES, text_norm)
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    text = reduce(lambda t, r: F.regexp_replace(t, *r), TOKEN_RULES, text)
-    return words(text)
+    return reduce(lambda t, r: F.regexp_replace(t, *r), TOKEN_RULES, text)
+
+
+def metric_tokens(text_norm: Column) -> Column:
+    """Tokens of the 13a scheme."""
+    return words(spaced_tokens(text_norm))
 
 
-def with_sentence_bleu(df: DataFrame, pred_norm: str, ref_norm: str, out: str = "bleu") -> DataFrame:
-    """Add sentence BLEU in 0-1: orders 1-4, effective order, exponential smoothing.
+def sentence_bleu(pred_norm: Column, ref_norm: Column) -> Column:
+    """Sentence BLEU in 0-1: orders 1-4, effective order, exponential smoothing.
 
-    Everything happens inside the row: no explode, no shuffle, and one row is the largest
-    unit of work. The steps are separate projections so that each array is built once.
+    Nothing leaves the row: no explode, no shuffle, and one row is the largest unit of work.
+    Tokens are cut by the engine; the n-grams of an Arrow batch of rows are counted together.
     """
-    keep = df.columns
-
-    def step(frame, **columns):
-        return frame.withColumns(columns)
-
-    work = step(df, _p1=metric_tokens(F.col(pred_norm)), _r1=metric_tokens(F.col(ref_norm)))
-    work = step(work, _m1=shared_count(F.col("_p1"), F.col("_r1"), mostly_distinct=False))
-    for n in range(2, MAX_ORDER + 1):
-        # Without a shared n-gram no longer one can be shared: most unlike texts stop early.
-        shared = F.col(f"_m{n - 1}") > 0
-        work = step(work, **{
-            f"_{s}{n}": F.when(shared, ngrams(F.col(f"_{s}1"), F.col(f"_{s}{n - 1}"), n)) for s in "pr"
-        })
-        work = step(work, **{f"_m{n}": F.when(shared, shared_count(
-            F.col(f"_p{n}"), F.col(f"_r{n}"), mostly_distinct=True)).otherwise(0)})
-    # Orders the prediction is too short for do not count.
-    order = F.least(F.size("_p1"), F.lit(MAX_ORDER))
-    log_sum, misses = F.lit(0.0), F.lit(0)
-    for n in range(1, MAX_ORDER + 1):
-        match, total = F.col(f"_m{n}"), F.greatest(F.size("_p1") - (n - 1), F.lit(0))
-        misses = misses + F.when((total > 0) & (match == 0), 1).otherwise(0)
-        precision = F.when(match > 0, match / F.nullif(total, F.lit(0))).otherwise(
-            1.0 / F.nullif(F.pow(F.lit(2.0), misses) * total, F.lit(0.0)))
-        log_sum = log_sum + F.when(total > 0, F.ln(precision)).otherwise(0.0)
-    brevity = F.when(
-        F.size("_p1") < F.size("_r1"),
-        F.exp(1.0 - F.try_divide(F.size("_r1").cast("double"), F.size("_p1"))),
-    ).otherwise(1.0)
-    any_match = reduce(lambda a, b: a + b, [F.col(f"_m{n}") for n in range(1, MAX_ORDER + 1)]) > 0
-    score = F.when(any_match, brevity * F.exp(F.try_divide(log_sum, order))).otherwise(0.0)
-    return work.withColumn(out, score).select(*keep, out)
+    return F.arrow_udf(bleu_of_batch, T.DoubleType())(spaced_tokens(pred_norm), spaced_tokens(ref_norm))
 
 
 def vocabulary_terms(text_norm: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.similarity import (
     exact_match, term_bag, term_key, token_prf, vector_cosine, vocabulary_terms,
-    with_sentence_bleu,
 )
+from gradeloom.functions.similarity import sentence_bleu as bleu
 from gradeloom.functions.text import normalise_code
 from gradeloom.session import written
 
@@ -28,7 +28,7 @@ def normalised(df: DataFrame) -> DataFrame:
 
 def sentence_bleu(df: DataFrame, out: str = "bleu") -> DataFrame:
     """Add sentence BLEU of the normalised texts, in 0-1."""
-    return with_sentence_bleu(normalised(df), "_pred", "_ref", out).drop("_pred", "_ref")
+    return normalised(df).withColumn(out, bleu(F.col("_pred"), F.col("_ref"))).drop("_pred", "_ref")
 
 
 def code_bleu(df: DataFrame, out: str = "codebleu") -> DataFrame:
@@ -105,7 +105,7 @@ def score_pairs(
     cosine, joined by ``row_idx``, or the cosine of two supplied embedding columns.
     """
     kept = [c for c in detail if c in df.columns]
-    scored = with_sentence_bleu(normalised(df), "_pred", "_ref").withColumns({
+    scored = normalised(df).withColumn("bleu", bleu(F.col("_pred"), F.col("_ref"))).withColumns({
         "model": F.lit(label),
         "exact_match": exact_match(F.col("_pred"), F.col("_ref")),
         "codebleu": F.col("bleu"),

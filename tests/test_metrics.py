@@ -1,13 +1,16 @@
 """BLEU and TF-IDF against short loops written from the published formulas."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gradeloom.functions import ngrams
 from gradeloom.operators import scoring as S
 
 TEXTS = [
@@ -76,6 +79,24 @@ def test_bleu_matches_the_formula(spark):
     assert got == pytest.approx([bleu(p, r) for p, r in TEXTS])
 
 
+def test_packed_grams_are_counted_with_repeats(monkeypatch):
+    """Against counters, rows of every length in one batch and in slices of single rows."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("ab c dd é  ", k=rng.randint(0, 30))) for _ in range(300)]
+    pred, ref = pa.array([*texts, None, ""]), pa.array([*texts[::-1], "a", "b b"])
+    n_pred, n_ref, shared = ngrams.matches(pred.fill_null(""), ref)
+    for i, (p, r) in enumerate(zip(pred.to_pylist(), ref.to_pylist())):
+        p, r = (p or "").split(), r.split()
+        assert (n_pred[i], n_ref[i]) == (len(p), len(r))
+        for n in range(4):
+            a, b = (Counter(zip(*[t[k:] for k in range(n + 1)])) for t in (p, r))
+            assert shared[n][i] == (a & b).total()
+    whole = ngrams.bleu_of_batch(pred, ref).to_pylist()
+    monkeypatch.setattr(ngrams, "_BYTES", 1)
+    assert ngrams.bleu_of_batch(pred, ref).to_pylist() == whole
+    assert ngrams.bleu_of_batch(pred[:0], ref[:0]).to_pylist() == []
+
+
 @pytest.mark.parametrize("broadcast_terms", [1_000_000, 3])
 def test_tfidf_matches_the_formula(spark, broadcast_terms):
     got = column(S.tfidf_cosine(frame(spark, TEXTS), broadcast_terms=broadcast_terms), "emb_sim")
