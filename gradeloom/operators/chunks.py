@@ -148,10 +148,10 @@ def _pieces(pdf: pd.DataFrame):
     return tuple(pdf[c].to_numpy() for c in ("low", "out", "grows", "closed"))
 
 
-def _sizes(lines: DataFrame, block_rows: int) -> DataFrame:
-    return lines.select(
-        F.col("row_idx").cast("long").alias("row_idx"),
-        (F.octet_length("line") + 1).cast("long").alias("bytes"), _block(block_rows).alias("block"))
+def request_sizes(lines: DataFrame) -> DataFrame:
+    """(row_idx, bytes) of (row_idx, line), written: two numbers per row. A line counts its newline."""
+    return written(lines.select(F.col("row_idx").cast("long").alias("row_idx"),
+                                (F.octet_length("line") + 1).cast("long").alias("bytes")))
 
 
 def _block(block_rows: int) -> Column:
@@ -159,18 +159,17 @@ def _block(block_rows: int) -> Column:
 
 
 def part_index(
-    lines: DataFrame,
+    sizes: DataFrame,
     cap: int = REQUEST_FILE_CAP,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """(block, part, starts) for (row_idx, line): next-fit parts in row order.
+    """(block, part, starts) for (row_idx, bytes): next-fit parts in row order, written.
 
     ``starts`` lists the rows of the block that start a part; ``part`` is the number of the part
-    before the first of them. A line counts its newline. A line above the cap gets a part of
-    its own.
+    before the first of them. A row above the cap gets a part of its own.
     """
-    sizes = _sizes(lines, block_rows)
+    sizes = sizes.withColumn("block", _block(block_rows))
 
     def leaf(key, pdf):
         return _rows(key[0], summarise(pdf.sort_values("row_idx")["bytes"].to_numpy(), cap))
@@ -210,16 +209,16 @@ def part_index(
         levels.append(below)
         width = -(-width // fan_in)
 
-    state = lines.sparkSession.range(1).selectExpr(
+    state = sizes.sparkSession.range(1).selectExpr(
         "id AS block", "cast(0 AS long) AS carry", "cast(0 AS long) AS part")
     for level in reversed(levels):
         state = level.groupBy(parent.alias("parent")).cogroup(
             state.groupBy("block")).applyInPandas(hand_down, STATE)
-    return sizes.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(list_starts, INDEX)
+    return written(sizes.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(list_starts, INDEX))
 
 
 def with_part(rows: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``part`` to rows with ``row_idx``, from a written ``part_index``.
+    """Add ``part`` to rows with ``row_idx``, from a ``part_index``.
 
     The index is broadcast when it is short enough; beyond that it is joined by block.
     """
@@ -239,8 +238,8 @@ def plan_request_chunks(
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(row_idx, bytes, part) for (row_idx, line): next-fit parts in row order."""
-    index = written(part_index(lines, cap, block_rows, fan_in))
-    return with_part(_sizes(lines, block_rows).drop("block"), index, block_rows)
+    sizes = request_sizes(lines)
+    return with_part(sizes, part_index(sizes, cap, block_rows, fan_in), block_rows)
 
 
 def chunk_sizes(plan: DataFrame) -> DataFrame:

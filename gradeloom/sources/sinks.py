@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import REQUEST_FILE_CAP
-from gradeloom.operators.chunks import BLOCK_ROWS, FAN_IN, part_index, with_part
-from gradeloom.session import written
+from gradeloom.operators.chunks import BLOCK_ROWS, FAN_IN, part_index, request_sizes, with_part
 
 LONG_TEXT = ("uml_code_gt", "uml_pred")
 
@@ -42,9 +41,9 @@ def write_request_chunks(
     are shuffled once, to their parts. Returns the plan: row_idx, bytes, part.
     """
     usable = lines.where(F.col("line").isNotNull()).select("row_idx", "line")
-    index = written(part_index(usable, cap, block_rows, fan_in))
-    parts = with_part(usable, index, block_rows)
-    (parts.repartition("part").sortWithinPartitions("part", "row_idx")
+    sizes = request_sizes(usable)
+    index = part_index(sizes, cap, block_rows, fan_in)
+    (with_part(usable, index, block_rows).repartition("part").sortWithinPartitions("part", "row_idx")
      .select("part", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("part").option("lineSep", "\n").text(path))
-    return parts.select("row_idx", (F.octet_length("line") + 1).cast("long").alias("bytes"), "part")
+    return with_part(sizes, index, block_rows)
