@@ -413,6 +413,11 @@ def oracle_sql() -> dict[str, str]:
         "assign_split":
             "SELECT doc_id AS row_idx, CASE WHEN slot < 8 THEN 'train' WHEN slot = 8 THEN 'validation' ELSE 'test' END"
             " AS split FROM (SELECT doc_id, cast('0x' || left(md5(doc_id || ':42'), 8) AS bigint) % 10 AS slot FROM documents)",
+        "assign_exact_split":
+            "SELECT doc_id AS row_idx, CASE WHEN place <= n - held THEN 'train'"
+            " WHEN place <= n - cast(ceil(held / 2) AS bigint) THEN 'validation' ELSE 'test' END AS split"
+            " FROM (SELECT doc_id, count(*) OVER () AS n, cast(ceil(count(*) OVER () / 5) AS bigint) AS held,"
+            " row_number() OVER (ORDER BY left(md5(doc_id || ':42'), 15), doc_id) AS place FROM documents)",
         "pair_models": over_pairs(
             "SELECT measure, max(value) FILTER (model = 'base') AS base,"
             " max(value) FILTER (model = 'finetuned') AS finetuned FROM long GROUP BY measure",

@@ -450,6 +450,12 @@ def assign_split(spark, sf_dir):
     return C.assign_split(rows).select("row_idx", "split")
 
 
+@query()
+def assign_exact_split(spark, sf_dir):
+    rows = V.flagged(spark, sf_dir).drop("split")
+    return C.assign_exact_split(rows).select("row_idx", "split")
+
+
 @query()
 def pick_splits(spark, sf_dir):
     split = F.when(F.col("uml_valid"), "train").when(F.col("llm_failed"), "test").otherwise("other")

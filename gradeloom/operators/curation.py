@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.constants import MAX_SEQUENCE_LENGTH
 from gradeloom.functions.messages import training_messages
 from gradeloom.functions.tokens import pad_ids, prompt_masked_labels
+from gradeloom.operators.selection import values_at
 
 SPLIT_ORDER = ("train", "validation", "test")
 
@@ -45,6 +46,34 @@ def assign_split(df: DataFrame, key: str = "row_idx", seed: int = 42) -> DataFra
         "split", F.when(slot < 8, train).when(slot == 8, validation).otherwise(test))
 
 
+def assign_exact_split(df: DataFrame, key: str = "row_idx", seed: int = 42) -> DataFrame:
+    """Keep an existing ``split``; otherwise 80/10/10 with exact sizes, in random order of the key.
+
+    A fifth of the rows, rounded up, is held out, and half of that, rounded up, is the test
+    split. Rows are ordered by a hash of their key, then by the key, an integer; the two rows at
+    which a split begins are selected by counting hashes, so nothing is sorted or shuffled but
+    counters. Rows with one key stay together, even where that makes a split larger.
+    """
+    if "split" in df.columns:
+        return df
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    order = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long")
+    keyed = df.where(F.col(key).isNotNull()).select(order.alias("order"), F.col(key).cast("long").alias("key"))
+    n = keyed.count()
+    held_out = -(-n // 5)
+    tested = -(-held_out // 2)
+    edges = [rank for rank in (n - held_out, n - tested) if rank < n]
+    ranked = values_at(keyed, "order", edges)
+    split = F.lit(SPLIT_ORDER[2])
+    for name, rank, found in reversed(list(zip(SPLIT_ORDER, edges, ranked))):
+        # Two keys seldom share a hash: then the key decides.
+        tied = keyed.where(F.col("order") == found.value)
+        first = values_at(tied, "key", [rank - found.smaller])[0].value
+        before = (order < found.value) | (order == found.value) & (F.col(key) < first)
+        split = F.when(before, name).otherwise(split)
+    return df.withColumn("split", F.when(F.col(key).isNotNull(), split))
+
+
 def split_sizes(df: DataFrame) -> DataFrame:
     return df.where(F.col("split").isNotNull()).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"))

@@ -2,48 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.constants import BASE, DEFAULT_THRESHOLD, FINETUNED, THRESHOLD_METRICS
 from gradeloom.operators.reports import percent, present
+from gradeloom.operators.selection import median_value
+
+# The functions for the executors travel whole, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUANTILES = 1024
 FLAT = 1e-6
+# Kernels evaluated together.
+KERNELS = 256
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One row: the exact median of a column without collecting the column anywhere.
-
-    Equal values are counted together first. Quantiles of the distinct values, at most
-    ``QUANTILES`` of them, cut the value range into buckets; the exact number of rows per
-    bucket tells which one or two hold the middle ranks, and only those are sorted. The
-    quantiles may be approximate: they decide the bucket sizes, not the result.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    cuts = counted.agg(F.percentile_approx(
-        "v", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)).scalar()
-    bucketed = counted.withColumn("cuts", cuts).select(
-        "v", "c", F.size(F.filter("cuts", lambda q: q < F.col("v"))).alias("bucket"))
-    per_bucket = bucketed.groupBy("bucket").agg(F.sum("c").alias("rows"))
-    # At most QUANTILES rows from here to the bucket choice.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = per_bucket.select(
-        "bucket", "rows", (F.sum("rows").over(before) - F.col("rows")).alias("before"))
-    n = per_bucket.agg(F.sum("rows")).scalar()
-    low, high = F.floor((n - 1) / 2), F.floor(n / 2)
-    middle = F.broadcast(ranked.where(
-        (F.col("before") <= high) & (F.col("before") + F.col("rows") > low)))
-    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    placed = bucketed.join(middle.select("bucket", "before"), "bucket").select(
-        "v", "c", (F.col("before") + F.sum("c").over(within)).alias("upto"))
-
-    def at(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("v")))
-
-    return placed.agg(((at(low) + at(high)) / 2).alias("median"))
+    """One row: the exact median of a column, selected without sorting or gathering it."""
+    return df.sparkSession.range(1).select(F.lit(median_value(df, value)).cast("double").alias("median"))
 
 
 def _similarity(df: DataFrame) -> tuple[Column, Column]:
@@ -58,13 +40,14 @@ def _similarity(df: DataFrame) -> tuple[Column, Column]:
 def correctness_threshold(df: DataFrame) -> DataFrame:
     """(metric, threshold): median of the chosen metric over valid finetuned rows.
 
-    Without such rows the threshold is 0.5.
+    Without such rows the threshold is 0.5. The median is selected by the values' bits in a fixed
+    number of passes, so no column is sorted or gathered.
     """
     name, value = _similarity(df)
     judged = df.where((F.col("model") == FINETUNED) & F.col("uml_valid")).select(value.alias("v"))
-    return exact_median(judged, "v").select(
-        name.alias("metric"),
-        F.coalesce("median", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
+    median = median_value(judged, "v")
+    return df.sparkSession.range(1).select(
+        name.alias("metric"), F.lit(DEFAULT_THRESHOLD if median is None else median).alias("threshold"))
 
 
 def validity_correctness(df: DataFrame) -> DataFrame:
@@ -119,30 +102,40 @@ def score_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
         "mean")
 
 
+def _masses(points: int):
+    """Per task one dense grid of kernel sums for each model, whatever the number of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array(batch.column("model").to_pylist(), object)
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "h", "x0", "dx")}
+            for model in sorted(set(names.tolist())):
+                mine = np.flatnonzero(names == model)
+                values, repeats = np.unique(columns["v"][mine], return_counts=True)
+                h, x0, dx = (columns[c][mine[0]] for c in ("h", "x0", "dx"))
+                grid, x = grids.setdefault(model, np.zeros(points)), x0 + np.arange(points) * dx
+                for low in range(0, len(values), KERNELS):
+                    z = (x - values[low:low + KERNELS, None]) / h
+                    grid += repeats[low:low + KERNELS] @ np.exp(-0.5 * z * z)
+        for model, grid in grids.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model] * points), pa.array(np.arange(points, dtype=np.int32)), pa.array(grid)], ["model", "i", "mass"])
+    return run
+
+
 def score_density(df: DataFrame, column: str, points: int = 1000) -> DataFrame:
     """Gaussian kernel density per model (Scott bandwidth) on an even grid.
 
-    The grid runs half a range beyond the data on both sides. Equal values are counted
-    together, and a value is only sent to grid points where its kernel is above the
-    smallest double, so the sum stays exact.
+    The grid runs half a range beyond the data on both sides. Every row's kernel is summed at
+    every point: a task adds its rows to one grid per model, and only the grids are shuffled.
     """
-    reach = 39.0
     spread = _spread(df, column).where(
         F.col("model").isin(BASE, FINETUNED) & (F.col("std") > FLAT)).select(
         "*", (F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         (F.col("low") - 0.5 * (F.col("high") - F.col("low"))).alias("x0"),
         (2.0 * (F.col("high") - F.col("low")) / (points - 1)).alias("dx"))
-    counted = _with_spread(df, column, spread).groupBy("model", "v", "h", "x0", "dx").agg(
-        F.count(F.lit(1)).alias("c"))
-
-    def near(side):
-        return (F.col("v") + side * reach * F.col("h") - F.col("x0")) / F.col("dx")
-
-    first = F.greatest(F.ceil(near(-1)).cast("int"), F.lit(0))
-    last = F.least(F.floor(near(1)).cast("int"), F.lit(points - 1))
-    z = (F.col("x0") + F.col("i") * F.col("dx") - F.col("v")) / F.col("h")
-    sums = counted.select("*", F.explode(F.sequence(first, last)).alias("i")).groupBy(
-        "model", "i").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("mass"))
+    sums = _with_spread(df, column, spread).select("model", "v", "h", "x0", "dx").mapInArrow(
+        _masses(points), "model string, i int, mass double").groupBy("model", "i").agg(F.sum("mass").alias("mass"))
     grid = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     scale = F.col("n") * F.col("h") * F.sqrt(2 * F.pi())
     return grid.join(sums, ["model", "i"], "left").select(

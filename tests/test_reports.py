@@ -4,10 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.operators import distributions as D
 from gradeloom.operators import reports as R
 from gradeloom.operators import results as O
+from gradeloom.operators import selection
 from gradeloom.operators.batches import batch_gate, batch_status_report
 
 NAN = float("nan")
@@ -165,3 +167,39 @@ def test_batch_status_report(spark):
     rows = batch_status_report(df).orderBy("id", "error_code").collect()
     assert [(r.id, r.status, r.failed, r.error_code) for r in rows] == [
         ("b1", "COMPLETED", 0, None), ("b2", "FAILED", 3, "c1"), ("b2", "FAILED", 3, "c2")]
+
+
+def test_values_at_ranks_are_those_of_a_sort(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(-2**63, 2**63 - 1, 300), rng.integers(-3, 3, 200), [5] * 100, [2**63 - 1, -2**63]])
+    ordered = np.sort(values).tolist()
+    df = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(4)
+    ranks = [0, 1, 150, 299, 300, 301, 400, 500, len(values) - 1]
+    found = selection.values_at(df, "v", ranks)
+    assert [(f.value, f.smaller) for f in found] == [(ordered[r], ordered.index(ordered[r])) for r in ranks]
+    with pytest.raises(ValueError, match="beyond"):
+        selection.values_at(df, "v", [len(values)])
+
+
+def test_bits_keep_the_order_of_doubles(spark):
+    values = [-float("inf"), -1e300, -2.5, -5e-324, -0.0, 0.0, 5e-324, 0.1, 1.0, 1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    bits = [r[0] for r in df.select(selection.ordered_bits(F.col("v"))).collect()]
+    assert bits[-1] is None and bits[:-1] == sorted(bits[:-1]) and bits[4] == bits[5] and len(set(bits[:-1])) == 10
+    assert [selection.from_ordered_bits(b) for b in bits[:-1]] == values
+
+
+def test_density_tasks_send_one_grid_per_model(spark):
+    """Rows that leave a task: models times points, however many values it saw."""
+    rows = [(m, float(v)) for m in ("base", "finetuned") for v in np.random.default_rng(3).normal(size=400)]
+    df = spark.createDataFrame(rows, "model string, v double").repartition(3)
+    grids = df.selectExpr("model", "v", "1d AS h", "-5d AS x0", "0.1d AS dx").mapInArrow(
+        D._masses(100), "model string, i int, mass double")
+    assert grids.count() == 3 * 2 * 100
+    got = {(r.model, r.i): r.density for r in D.score_density(df, "v", 50).collect()}
+    for model in ("base", "finetuned"):
+        v = np.array([x for m, x in rows if m == model])
+        h = v.std(ddof=1) * len(v) ** -0.2
+        x = np.linspace(v.min() - 0.5 * np.ptp(v), v.max() + 0.5 * np.ptp(v), 50)
+        want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert np.allclose([got[model, i] for i in range(50)], want, rtol=1e-9)

@@ -407,6 +407,25 @@ def test_keep_valid_tests_only_existing_columns(spark):
     assert tuple(Q.kept_count(df).first()) == (1, 5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 9, 10, 11, 57, 1000])
+def test_exact_splits_have_exact_sizes(spark, n):
+    df = spark.range(n).withColumn("row_idx", F.col("id") * 7 - 20).repartition(3)
+    held = -(-n // 5)
+    sizes = {r.split: r.n_rows for r in Q.split_sizes(Q.assign_exact_split(df)).collect()}
+    want = {"train": n - held, "validation": held // 2, "test": -(-held // 2)}
+    assert sizes == {k: v for k, v in want.items() if v}
+
+
+def test_exact_splits_do_not_depend_on_partitioning(spark):
+    df = spark.range(200).toDF("row_idx")
+    once, again = ({r.row_idx: r.split for r in Q.assign_exact_split(df.repartition(k)).collect()} for k in (1, 5))
+    assert once == again
+    other = {r.row_idx: r.split for r in Q.assign_exact_split(df, seed=7).collect()}
+    assert once != other and Q.assign_exact_split(df.withColumn("split", F.lit("x"))).where("split = 'x'").count() == 200
+    tied = spark.createDataFrame([(1,)] * 8 + [(2,), (None,)], "row_idx long")
+    assert Q.assign_exact_split(tied).where("split IS NULL").count() == 1
+
+
 def test_assign_split_is_stable(spark):
     df = spark.range(5000).toDF("row_idx")
     once = {r.row_idx: r.split for r in Q.assign_split(df).collect()}
