@@ -318,6 +318,19 @@ def chat_text() -> str:
             " || text")
 
 
+def _turn(role: str, *parts: str) -> str:
+    return f"json_object('role', '{role}', 'content', json_array({', '.join(parts)}))"
+
+
+def _part(text: str) -> str:
+    return f"json_object('type', 'text', 'text', {text})"
+
+
+TRAINING_TURNS = ", ".join((
+    _turn("system", _part(lit(C.TRAINING_SYSTEM_PROMPT))),
+    _turn("user", "json_object('type', 'image')", _part(lit(C.IMAGE_USER_PROMPT))),
+    _turn("assistant", _part("text"))))
+
 RENDERS = r"""renders AS (
   SELECT event_id AS row_idx, event_id % 7 AS kind,
     trim(' ' || event_type || ' in ' || props || ' ') AS said,
@@ -346,7 +359,13 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {CHATS} SELECT row_idx, text AS uml_code_gt, 'direct' AS layout FROM chats"
             " UNION ALL SELECT row_idx, answer, 'messages' FROM chats",
         "read_batch_responses":
-            f"WITH {RESPONSES} SELECT row_idx, uml_code, cast(file_ord AS int) AS file_ord, line_no FROM responses",
+            "SELECT doc_id AS row_idx, CASE WHEN (doc_id + copy) % 7 <> 0 THEN "
+            + trim_space("text || CASE WHEN copy = 1 THEN ' again' ELSE '' END")
+            + " END AS uml_code, copy AS file_ord FROM documents, (SELECT cast(unnest([0, 1]) AS int) AS copy) c"
+            " WHERE copy = 0 OR doc_id % 13 = 0",
+        "unreadable_responses":
+            "SELECT source, count(*) AS n_lines, count(*) FILTER (source = 'src0') AS n_unreadable FROM documents"
+            " GROUP BY source",
         "resume_increment":
             "SELECT doc_id AS row_idx, source AS split FROM documents"
             " WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -367,8 +386,8 @@ def oracle_sql() -> dict[str, str]:
         "fill_missing_text": over_pairs("SELECT model, row_idx, uml_pred FROM pairs"),
         "empty_reference_count": f"WITH {CHATS} SELECT count(*) AS n_empty FROM chats WHERE answer = ''",
         "drop_source_columns":
-            f"WITH {FLAGGED} SELECT 'messages' AS messages, octet_length(encode(text)) AS image_bytes,"
-            " length(split) + 4 AS split FROM flagged"
+            f"WITH {FLAGGED} SELECT md5(cast(json_array({TRAINING_TURNS}) AS varchar)) AS messages,"
+            " octet_length(encode(text)) AS image_bytes, split FROM flagged"
             " WHERE uml_valid AND NOT llm_failed",
         "sample_rows":
             f"WITH {FLAGGED} SELECT row_idx, left(text, 120) AS text, split, uml_valid, uml_error,"
@@ -522,7 +541,8 @@ def oracle_sql() -> dict[str, str]:
         "vector_cosine":
             "SELECT a.vec_id, " + r6("list_cosine_similarity(a.embedding::double[], b.embedding::double[])",
                                      "cosine")
-            + " FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+            + " FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN a.vec_id = (SELECT max(vec_id) FROM embeddings)"
+            " THEN (SELECT min(vec_id) FROM embeddings) ELSE a.vec_id + 1 END",
         "score_pairs": over_scores(
             "SELECT model, row_idx, uml_valid, uml_error, llm_failed, "
             + ", ".join(r6(m, m) for m in C.METRICS) + " FROM scores"),

@@ -26,7 +26,7 @@ from gradeloom.operators.chunks import chunk_sizes, plan_request_chunks
 from gradeloom.plans.benchmark import benchmark_rows
 from gradeloom.plans.compare import score_models
 from gradeloom.session import shared_dir, written
-from gradeloom.sources.responses import parse_responses
+from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines, unreadable_lines
 from gradeloom.sources.shards import read_shards, tag_split, union_shards, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import eval_split, ground_truth
@@ -122,9 +122,25 @@ def read_ground_truth(spark, sf_dir):
         ground_truth(chats.select("row_idx", "messages")).withColumn("layout", F.lit("messages")))
 
 
+@query("read_batch_responses")
+def read_response_files(spark, sf_dir):
+    """Every document's response, written as JSON lines and read through the file reader."""
+    paths = V.response_files(spark, sf_dir, _folder(spark))
+    return read_batch_responses(spark, paths).select("row_idx", "uml_code", F.col("file_ord.listed").alias("file_ord"))
+
+
 @query()
-def read_batch_responses(spark, sf_dir):
-    return parse_responses(V.response_rows(spark, sf_dir), ("file_ord", "line_no"))
+def unreadable_responses(spark, sf_dir):
+    """Lines per listed folder, those of one source cut off in the middle."""
+    docs = V.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("req_"), "doc_id").alias("custom_id"), "source", "text")
+    line = F.to_json(F.struct("custom_id", "text"))
+    cut = F.when(F.col("source") == "src0", F.left(line, F.length(line) - 1)).otherwise(line)
+    path = _folder(spark)
+    docs.select("source", cut.alias("line")).write.partitionBy("source").option("lineSep", "\n").text(path)
+    found = unreadable_lines(response_lines(spark, path))
+    return found.groupBy(F.regexp_extract("file", "source=([^/]*)/", 1).alias("source")).agg(
+        F.sum("n_lines").alias("n_lines"), F.sum("n_unreadable").alias("n_unreadable"))
 
 
 @query()
@@ -176,9 +192,9 @@ def empty_reference_count(spark, sf_dir):
 @query()
 def drop_source_columns(spark, sf_dir):
     chats = format_training_rows(spark, sf_dir)
-    return chats.select(*[F.length(F.to_json(F.array(c))).cast("long").alias(c) if c == "split"
-                          else F.lit(c).alias(c) if c == "messages" else F.length(c).cast("long").alias(c)
-                          for c in chats.columns])
+    digest = {"split": F.col("split"), "image_bytes": F.length("image_bytes").cast("long"),
+              "messages": F.md5(F.to_json("messages"))}
+    return chats.select(*[digest.get(c, F.col(c)).alias(c) for c in chats.columns])
 
 
 @query()
@@ -525,9 +541,11 @@ def tfidf_cosine_split(spark, sf_dir):
 
 @query("vector_cosine")
 def vector_cosine_pairs(spark, sf_dir):
+    """Each vector with the next one, the last with the first."""
     vectors = V.table(spark, sf_dir, "embeddings")
-    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"),
-                               F.col("embedding").alias("other"))
+    edge = vectors.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
+    before = F.when(F.col("vec_id") == edge.low, edge.high).otherwise(F.col("vec_id") - 1)
+    following = vectors.select(before.alias("vec_id"), F.col("embedding").alias("other"))
     return V.rounded(vectors.join(following, "vec_id").select(
         "vec_id", vector_cosine(F.col("embedding"), F.col("other")).alias("cosine")))
 

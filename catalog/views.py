@@ -114,7 +114,17 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, file_ord, line_no): response JSON per document, some missing, some repeated."""
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 0)
+    return _responses(table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 0))
+
+
+def response_files(spark: SparkSession, sf_dir: str, path: str) -> list[str]:
+    """A response to every document in files of JSON lines, repeated ones in a second folder."""
+    _responses(table(spark, sf_dir, "documents")).select(F.col("file_ord").alias("copy"), "line").write.partitionBy(
+        "copy").option("lineSep", "\n").text(path)
+    return [f"{path}/copy=0", f"{path}/copy=1"]
+
+
+def _responses(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("doc_id") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0)))
     rows = docs.select("doc_id", "text", F.explode(copies).alias("copy"))

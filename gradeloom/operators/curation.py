@@ -111,15 +111,15 @@ def mask_prompt_labels(
 ) -> DataFrame:
     """Truncate, pad to the longest row of the batch, and add ``labels``.
 
-    Only the batch widths are aggregated. Where they do not fit a broadcast, the token arrays are
-    shuffled once to meet them, but not sorted. Rows without a batch form one.
+    Only the batch widths are aggregated, and adaptive execution broadcasts them where they are
+    small; otherwise the token arrays are shuffled once to meet them. Rows without a batch form one.
     """
     cut = df.withColumn("input_ids", F.slice("input_ids", 1, max_len))
     longest = F.max(F.least(F.size("input_ids"), F.lit(max_len))).alias("_width")
     if batch is None:
         sized = cut.withColumn("_width", df.agg(longest).scalar())
     else:
-        widths = df.groupBy(F.col(batch).alias("_batch")).agg(longest).hint("shuffle_hash")
+        widths = df.groupBy(F.col(batch).alias("_batch")).agg(longest)
         sized = cut.join(widths, cut[batch].eqNullSafe(widths["_batch"])).drop("_batch")
     padded = sized.withColumn(
         "input_ids", pad_ids(F.col("input_ids"), F.col("_width"), pad_id)).drop("_width")

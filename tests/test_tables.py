@@ -21,7 +21,8 @@ from gradeloom.plans.compare import compare_models
 from gradeloom.plans.convert import retrieve_batch, submit_batch
 from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
-from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines
+from gradeloom.sources import responses
+from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines, unreadable_lines
 from gradeloom.sources.shards import file_offsets, read_shards, table_rows, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
@@ -277,6 +278,25 @@ def test_unreadable_responses_stop_or_are_kept(spark, tmp_path):
     assert {r.unreadable for r in kept} == {None, "{cut off"}
 
 
+def test_files_belong_to_the_longest_listed_path(spark, tmp_path):
+    for name in ("a/x 1/1.jsonl", "a/y/2.jsonl", "a/3.jsonl", "b/deep/er/4.jsonl", "c5.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(response(int(name[-7]), "t") + "\n")
+    listed = [str(tmp_path / "a"), str(tmp_path / "a/x 1"), str(tmp_path / "b/*"), str(tmp_path / "{c,d}5.jsonl"), str(tmp_path / "a/y/2.jsonl")]
+    rows = read_batch_responses(spark, listed).collect()
+    assert sorted((r.row_idx, r.file_ord.listed) for r in rows) == [(1, 1), (2, 4), (3, 0), (4, 2), (5, 3)]
+    with pytest.raises(ValueError, match="none of the listed"):
+        responses._places(["file:/x/a"], ["file:/x/ab/1"])
+
+
+def test_unreadable_lines_are_counted_by_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(f"{response(0, 'x')}\n\n{{cut off\n{response(1, 'y')}\n[1]\n")
+    (tmp_path / "b.jsonl").write_text(response(2, "z") + "\n" + '{"response": null}' + "\n")
+    (tmp_path / "c.jsonl").write_text(response(3, "z") + "\n")
+    got = {r.file[-7:]: tuple(r)[1:] for r in unreadable_lines(response_lines(spark, str(tmp_path))).collect()}
+    assert got == {"a.jsonl": (4, 2, "{cut off"), "b.jsonl": (2, 1, '{"response": null}'), "c.jsonl": (1, 0, None)}
+
+
 def test_many_response_files_are_one_scan(spark, tmp_path):
     for i in range(30):
         (tmp_path / f"{i}.jsonl").write_text(response(i, "x") + "\n")
