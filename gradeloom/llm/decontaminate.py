@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import null_safe, stored, text_hash
+from gradeloom.llm.shared import null_safe, stored, text_hash, unused
 from gradeloom.llm.words import alnum_words, distinct_places, encoded, grams, rightmost_minima, word_hashes
 
 SPAN, GRAM = 13, 7
@@ -165,7 +165,6 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
-    keys = ["doc_id", "_text_hash"]
-    bad = judged(docs, benchmark).where("contaminated").select(
-        "doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    return null_safe(docs.withColumn("_text_hash", text_hash()), bad, keys, "left_anti").drop("_text_hash")
+    name = unused(docs, "_text_hash")
+    bad = judged(docs, benchmark).where("contaminated").select("doc_id", F.col("text_hash").alias(name)).distinct()
+    return null_safe(docs.withColumn(name, text_hash()), bad, ["doc_id", name], "left_anti").drop(name)

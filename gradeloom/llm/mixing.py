@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import stored
+from gradeloom.llm.shared import stored, unused
 
 # Strings whose counts tell languages and styles apart.
 MARKS = ("e", "a", "t", "i", "o", "n", "s", "r", "h", "d", "l", "u", "th", "ch", "ei", "ou",
@@ -224,10 +224,11 @@ def mixed(
     n = len(mixture.domains.names)
     if not mixture.rates.steps:
         return docs
-    named = docs.withColumns({"_marks": mark_counts(F.col("text")), "_u": uniform()}).withColumn(
-        "_e", posterior(mixture.domains, F.col("_marks"))).withColumn("_p", F.array(*_split(F.col("_e"), n)))
-    copies = F.floor(mixture.rates.of([F.col("_p")[i] for i in range(n)]) + F.col("_u")).cast("int")
+    marks, u, e, p, copies, copy = (unused(docs, f"_{x}") for x in ("marks", "u", "e", "p", "copies", "copy"))
+    named = docs.withColumns({marks: mark_counts(F.col("text")), u: uniform()}).withColumn(
+        e, posterior(mixture.domains, F.col(marks))).withColumn(p, F.array(*_split(F.col(e), n)))
+    times = F.floor(mixture.rates.of([F.col(p)[i] for i in range(n)]) + F.col(u)).cast("int")
     # No filter on the number of copies: it would be pushed down, and everything computed twice.
-    return named.withColumn("_copies", copies).select(
+    return named.withColumn(copies, times).select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+        F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -76,10 +76,14 @@ def sketches(text: str) -> np.ndarray:
     h = _numbered(_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")))
     n = len(h)
     pick = min(PICK, n)
-    # Few hashes lie below this bound; where too few do in some sketch, all are looked at.
-    sketch, place, _ = _below(h, np.uint64(min(2**64 - 1, 2**64 // n * (6 * PICK))))
-    if np.bincount(sketch, minlength=SKETCHES).min() < pick:
-        sketch, place, _ = _below(h, np.uint64(2**64 - 1))
+    # Few hashes lie below the bound; where too few do in some sketch, it is raised.
+    bound = 0
+    sketch = place = np.empty(0, np.int64)
+    share = 6 * PICK
+    while bound < 2**64 - 1 and np.bincount(sketch, minlength=SKETCHES).min() < pick:
+        bound = min(2**64 - 1, 2**64 // n * share)
+        sketch, place, _ = _below(h, np.uint64(bound))
+        share *= 2
     first = np.searchsorted(sketch, np.arange(SKETCHES))
     chosen = np.sort(place[first[:, None] + np.arange(pick)], axis=1)
     total = np.full(SKETCHES, pick, np.uint64)

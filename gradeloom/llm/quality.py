@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import stored
+from gradeloom.llm.shared import stored, unused
 from gradeloom.llm.words import encoded
 
 MAX_LABELLED, ROUNDS = 20_000, 3
@@ -168,10 +168,13 @@ def measured(docs: DataFrame) -> DataFrame:
         run, "doc_id long, key long, t array<float>, m array<float>")
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
+def _metadata(docs: DataFrame) -> dict[str, Column]:
     kinds = {"lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(F.col("doc_id").cast("long"), "text",
-                       *[F.col(c).cast(kinds[c]).alias(c) for c in META if c in docs.columns])
+    return {c: F.col(c).cast(kinds[c]) for c in META if c in docs.columns}
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", *[value.alias(c) for c, value in _metadata(docs).items()])
 
 
 def _matrix(rows: list, name: str, width: int) -> np.ndarray:
@@ -311,12 +314,19 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM,
     Texts are measured again where they are instead of being moved for a join with their scores.
     """
     views = fit_views(stored(measured(docs)), labels, **fitting)
+    # The metadata once more in the types it is measured in, whatever its own ones are.
+    typed = {c: unused(docs, f"_{c}") for c in _metadata(docs)}
+    columns, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if isinstance(views, float) or not len(batch):
-                yield batch if not isinstance(views, float) or views >= keep_from else batch.slice(0, 0)
+            rows = batch.select(columns)
+            if isinstance(views, float) or not len(rows):
+                yield rows if not isinstance(views, float) or views >= keep_from else rows.slice(0, 0)
                 continue
-            t, m = (np.array(x, float) for x in _features(batch))
-            yield batch.filter(pa.array(views.score(t, m) >= keep_from))
-    return docs.mapInArrow(run, docs.schema)
+            measured_as = pa.RecordBatch.from_arrays(
+                [batch.column("text"), *map(batch.column, typed.values())], ["text", *typed])
+            t, m = (np.array(x, float) for x in _features(measured_as))
+            yield rows.filter(pa.array(views.score(t, m) >= keep_from))
+    wide = docs.withColumns({typed[c]: value for c, value in _metadata(docs).items()})
+    return wide.mapInArrow(run, schema)

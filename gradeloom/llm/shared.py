@@ -32,13 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys`` where two nulls are equal; the keys of ``left`` stay."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    names = {k: unused(left, f"_r_{k}") for k in keys}
+    renamed = right.withColumnsRenamed(names)
     on: Column = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    for k, name in names.items():
+        on = on & left[k].eqNullSafe(renamed[name])
+    return left.join(renamed, on, how).drop(*names.values())
 
 
 def text_hash() -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import component_roots, forest
-from gradeloom.llm.shared import null_safe, stored, text_hash
+from gradeloom.llm.shared import null_safe, stored, text_hash, unused
 from gradeloom.llm.words import encoded, space_words
 
 SHINGLE, DISTANCE, CHUNKS = 4, 4, 3
@@ -231,11 +231,12 @@ def keep_one(
     order = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash", "n")
     chosen = grouped.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "root").agg(F.min(order).alias("c")).select("c.doc_id", "c.text_hash", "c.n")
-    keys = ["doc_id", "_text_hash"]
-    chosen = stored(chosen.groupBy("doc_id", F.col("text_hash").alias("_text_hash")).agg(F.max("n").alias("n")))
-    hashed = docs.withColumn("_text_hash", text_hash())
-    kept = null_safe(hashed, chosen.where("n = 1").drop("n"), keys, "left_semi")
-    repeated = chosen.where("n > 1").drop("n")
+    name, size = unused(docs, "_text_hash"), unused(docs, "_n")
+    keys = ["doc_id", name]
+    chosen = stored(chosen.groupBy("doc_id", F.col("text_hash").alias(name)).agg(F.max("n").alias(size)))
+    hashed = docs.withColumn(name, text_hash())
+    kept = null_safe(hashed, chosen.where(F.col(size) == 1).drop(size), keys, "left_semi")
+    repeated = chosen.where(F.col(size) > 1).drop(size)
     if not repeated.isEmpty():
         kept = kept.unionAll(null_safe(hashed, repeated, keys, "left_semi").dropDuplicates(keys))
-    return kept.drop("_text_hash")
+    return kept.drop(name)

@@ -5,12 +5,14 @@ makes the calls a forest; its depth there, found by pointer doubling, orders the
 topologically: sorted by (depth, turn, call_id), every call follows the one it waits for. Rounds
 grow with the logarithm of the longest chain, and no conversation is ever gathered, so a
 conversation of any length does no harm. Arguments are checked against the tool's schema and each
-linked call is written as canonical JSON: sorted keys, no blanks, no escapes but the needed ones.
+linked call is written as canonical JSON: sorted keys, no blanks, no escapes but the needed ones,
+numbers as Python writes them.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -56,9 +58,23 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise OverflowError(digits)
+    return value
+
+
 def _parsed(arguments: str | None) -> tuple[Any, list[str]]:
+    """The value, and why it cannot be written: numbers beyond a double and half characters are legal JSON."""
     try:
-        return json.loads(arguments or "", parse_constant=_no_constant), []
+        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        canonical(value).encode()
+        return value, []
+    except OverflowError:
+        return None, ["a number is out of range"]
+    except UnicodeEncodeError:
+        return None, ["a string is no Unicode text"]
     except (ValueError, RecursionError):
         return None, ["arguments are no JSON"]
 

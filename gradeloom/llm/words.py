@@ -23,15 +23,20 @@ _WORD_BYTES = bytes(
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
-_powers = {base: np.ones(1, np.uint64) for base in (_BASE, _INVERSE)}
+# A second polynomial, modulo a prime: powers of two alone have words that collide for every base.
+_PRIME, _ROOT = (1 << 31) - 1, 0x5A17B2C3
+_ROOT_INVERSE = pow(_ROOT, -1, _PRIME)
+_JOIN = np.uint64(0x9FB21C651E98DF25)
+_MODULI = {_BASE: 1 << 64, _INVERSE: 1 << 64, _ROOT: _PRIME, _ROOT_INVERSE: _PRIME}
+_powers = {base: np.ones(1, np.uint64) for base in _MODULI}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers[base]
+    """base**0 ... base**(n-1) modulo 2**64 or the prime, kept for the next call."""
+    have, modulus = _powers[base], _MODULI[base]
     while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
+        more = have * np.uint64(pow(base, len(have), modulus))
+        have = np.concatenate([have, more if modulus == 1 << 64 else more % np.uint64(modulus)])
     _powers[base] = have
     return have[:n]
 
@@ -116,8 +121,21 @@ def distinct_places(places: np.ndarray) -> np.ndarray:
     return places[fresh]
 
 
-def hashes_of(text: bytes) -> np.ndarray:
-    """The hashes of all ``space_words``, found in the bytes without cutting them out."""
+def _prime_values(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The polynomials of the words modulo the prime; ``data`` are bytes plus one."""
+    prime = np.uint64(_PRIME)
+    total = np.zeros(len(data) + 1, np.uint64)
+    # Terms below 2**31 do not overflow in any text that fits in memory.
+    np.cumsum(data * _power(_ROOT, len(data)) % prime, out=total[1:])
+    return (total[stop] - total[start]) % prime * _power(_ROOT_INVERSE, len(data) + 1)[start] % prime
+
+
+def hashes_of(text: bytes, strong: bool = False) -> np.ndarray:
+    """The hashes of all ``space_words``, found in the bytes without cutting them out.
+
+    They equal ``word_hashes``; ``strong`` ones take in a second polynomial, so that no two words
+    collide by the way they are built.
+    """
     found = []
     begin = 0
     while begin < len(text):
@@ -138,8 +156,11 @@ def hashes_of(text: bytes) -> np.ndarray:
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, stop = edge[::2], edge[1::2]
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
+        data = data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(data * _power(_BASE, len(data)), out=total[1:])
         value = (total[stop] - total[start]) * _power(_INVERSE, len(data) + 1)[start]
+        if strong:
+            value = value + _prime_values(data, start, stop) * _JOIN
         found.append(mix(value + (stop - start).astype(np.uint64)))
         begin = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)

@@ -30,6 +30,29 @@ def test_word_hashes_agree_in_every_form():
         assert (words.hashes_of(text) == words.word_hashes(text.split())).all()
 
 
+def test_strong_hashes_tell_words_apart():
+    """Words that collide modulo every power of two, and the same word at any place."""
+    one, two = b"a", b"b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    assert words.word_hashes([one])[0] == words.word_hashes([two])[0]
+    assert len({*words.hashes_of(one + b" " + two, strong=True).tolist()}) == 2
+    text = b" ".join([b"x%d" % (i % 50) for i in range(100_000)] + [one, b"z" * 600_000, one])
+    found = words.hashes_of(text, strong=True)
+    assert len(np.unique(found)) == 52 and found[-1] == found[-3]
+    for i in range(50):
+        assert (found[i:100_000:50] == words.hashes_of(b"x%d" % i, strong=True)[0]).all()
+
+
+def test_windows_with_colliding_words_are_kept(documents):
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    rest = " ".join(f"w{i}" for i in range(12))
+    out = {r.doc_id: r for r in fm_dedup.without_copies(documents([(1, f"{rest} {one}"), (2, f"{rest} {two}"), (3, f"{rest} {one}")])).collect()}
+    assert (out[2].n_removed, out[3].n_removed) == (0, 13) and bytes(out[2].kept).decode() == f"{rest} {two}"
+
+
 def test_minima_are_the_rightmost():
     values = np.random.default_rng(4).integers(0, 2**64, 300, dtype=np.uint64)
     values[::3] = values[0]
@@ -117,6 +140,18 @@ def test_tool_calls_are_ordered_and_checked(spark):
     assert tool_chat.linked_calls(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_legal_but_unwritable_arguments_are_errors(spark):
+    rows = [(1, i, f"c{i}", "f", a, None) for i, a in enumerate((
+        '{"n": 1e400}', '{"n": "\\ud800"}', '{"\\udfff": 1}', '{"n": NaN}', "[" * 100_000, '{"n": "\\ud83d\\ude00"}'))]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    out = {r.turn: r for r in tool_chat.linked_calls(calls, results, {"f": {"properties": {"n": {"type": "string"}}}}).collect()}
+    assert [out[i].errors for i in range(6)] == [
+        ["a number is out of range"], ["a string is no Unicode text"], ["a string is no Unicode text"],
+        ["arguments are no JSON"], ["arguments are no JSON"], []]
+    assert '"n":"😀"' in out[5].json and all(json.loads(r.json)["arguments"] is None for i, r in out.items() if i < 5)
+
+
 def test_license_rules_keep_their_bounds():
     starts: dict = {}
     for rule in licenses.RULES:
@@ -153,6 +188,33 @@ def test_license_suppression(documents, odd):
     assert licenses.summarised(licenses.scanned(odd)).count() == odd.count()
 
 
+def test_extra_columns_survive_every_stage(spark, sf_dir):
+    """Columns named as the stages name theirs, and metadata of other types."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("labels", "benchmark"))
+    names = ["_text_hash", "_marks", "_u", "_e", "_p", "_copies", "_copy", "_n", "_lang", "_r_doc_id", "_R_text"]
+    docs = docs.withColumn("source", F.hash("source") % 5).withColumn("n_chars", F.col("n_chars").cast("string")).withColumns(
+        {n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    for out in (quality.keep_good(docs, labels), simhash.keep_one(docs), decontaminate.drop_contaminated(docs, items),
+                mixing.mixed(docs, labelled)):
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_sketches_of_any_bound(monkeypatch):
+    """Against all hashes of all sketches, also where the first bound lets too few through."""
+    rng = np.random.default_rng(6)
+    texts = ["ab", "a" * 5, "abcdefgh", *("".join(rng.choice(list("abcd "), rng.integers(9, 400))) for _ in range(150))]
+    found = [order_minhash.sketches(t) for t in texts]
+    below = order_minhash._below
+    calls = []
+    monkeypatch.setattr(order_minhash, "_below", lambda h, bound: calls.append(bound) or below(h, np.uint64(2**64 - 1)))
+    for text, sketch in zip(texts, found, strict=True):
+        assert (order_minhash.sketches(text) == sketch).all()
+
+
 def _huffman_cost(counts):
     heap, cost = sorted(c for c in counts.tolist() if c), 0
     while len(heap) > 1:
