@@ -369,6 +369,9 @@ def oracle_sql() -> dict[str, str]:
         "resume_increment":
             "SELECT doc_id AS row_idx, source AS split FROM documents"
             " WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "resume_from_store":
+            f"WITH {RESPONSES} SELECT d.doc_id AS row_idx, l.uml_code, l.row_idx IS NULL AS pending"
+            " FROM documents d LEFT JOIN latest l ON l.row_idx = d.doc_id",
         "keep_valid": f"WITH {FLAGGED} SELECT row_idx, split FROM flagged WHERE uml_valid AND NOT llm_failed",
         "kept_count":
             f"WITH {FLAGGED} SELECT count(*) FILTER (uml_valid AND NOT llm_failed) AS kept,"

@@ -30,6 +30,7 @@ from gradeloom.sources.responses import parse_responses, read_batch_responses, r
 from gradeloom.sources.shards import read_shards, tag_split, union_shards, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import eval_split, ground_truth
+from gradeloom.sources.store import ResultStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHUNK_CAP = 100_000
@@ -149,6 +150,20 @@ def resume_increment(spark, sf_dir):
     return J.resume_increment(V.flagged(spark, sf_dir).select("row_idx", "split"), done)
 
 
+@query()
+def resume_from_store(spark, sf_dir):
+    """Rows without an answer in a store of two batches, and the last answer of the others."""
+    store = ResultStore(spark, _folder(spark), buckets=8)
+    rows = parse_responses(V.response_rows(spark, sf_dir), ("file_ord", "line_no")).select(
+        "row_idx", "uml_code", F.lit("").alias("file_ord"), F.lit(0).cast("long").alias("block"),
+        F.col("line_no").alias("pos"), F.col("file_ord").alias("batch"))
+    for batch in (0, 1):
+        store.write(rows.where(F.col("batch") == batch), batch)
+    pending = store.pending(V.flagged(spark, sf_dir).select("row_idx"))
+    return pending.select("row_idx", F.lit(None).cast("string").alias("uml_code"), F.lit(True).alias("pending")).unionByName(
+        store.latest().withColumn("pending", F.lit(False)))
+
+
 # Filters and result rows
 
 @query()

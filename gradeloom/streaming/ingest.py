@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeloom.sources.responses import parse_responses
+from gradeloom.sources.store import ResultStore
 
 
 def ingest_responses(
     spark: SparkSession,
     source: str,
-    target: str,
+    target: str | ResultStore,
     checkpoint: str,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Parse new response files into ``target``, then stop.
+    """Parse new response files into ``target``, a folder or a store, then stop.
 
     Progress is saved after every batch of files, so a restart continues where the last run
     ended. A batch that is repeated after a failure overwrites its own folder.
@@ -32,8 +33,11 @@ def ingest_responses(
         # Positions inside a file block exist only once the batch is a plain table.
         placed = batch.withColumn(
             "line_no", F.struct("block", F.monotonically_increasing_id().alias("pos")))
-        parse_responses(placed, ("file_ord", "line_no")).write.mode("overwrite").parquet(
-            f"{target}/batch_id={batch_id}")
+        answers = parse_responses(placed, ("file_ord", "line_no"))
+        if isinstance(target, ResultStore):
+            target.write(answers.select("row_idx", "uml_code", "file_ord", "line_no.*"), batch_id)
+        else:
+            answers.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         lines.writeStream.foreachBatch(save)

@@ -18,7 +18,7 @@ from gradeloom.operators.batches import build_request
 from gradeloom.operators.chunks import chunk_sizes, plan_request_chunks
 from gradeloom.plans.benchmark import run_benchmark
 from gradeloom.plans.compare import compare_models
-from gradeloom.plans.convert import retrieve_batch, submit_batch
+from gradeloom.plans.convert import resume_batch, retrieve_batch, submit_batch
 from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
 from gradeloom.sources import responses
@@ -26,6 +26,7 @@ from gradeloom.sources.responses import parse_responses, read_batch_responses, r
 from gradeloom.sources.shards import file_offsets, read_shards, table_rows, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
+from gradeloom.sources.store import ResultStore
 from gradeloom.streaming.ingest import ingest_responses, read_ingested
 
 
@@ -420,6 +421,47 @@ def test_ingest_processes_each_file_once(spark, tmp_path):
     assert {r.row_idx: r.uml_code for r in latest.collect()} == {0: "a", 1: "c"}
 
 
+def test_store_is_joined_bucket_to_bucket(spark, tmp_path):
+    """No exchange on the stored side; a new session's view of the same files; repeated batches replace."""
+    columns = "row_idx long, uml_code string, file_ord string, block long, pos long"
+    batch = lambda rows: spark.createDataFrame([(i, t, "f", 0, i) for i, t in rows], columns)
+    store = ResultStore(spark, str(tmp_path / "s"), buckets=4)
+    store.write(batch([(i, "old") for i in range(50)]), 0)
+    store.write(batch([(i, "lost") for i in range(40, 45)]), 1)
+    store.write(batch([(i, "new") for i in range(45, 60)] + [(0, None)]), 1)
+    spark.sql(f"DROP TABLE {store.table}")
+    again = ResultStore(spark, str(tmp_path / "s"), buckets=4)
+    latest = {r.row_idx: r.uml_code for r in again.latest().collect()}
+    assert latest == {0: None} | {i: "old" for i in range(1, 45)} | {i: "new" for i in range(45, 60)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pending = again.pending(spark.range(200).withColumnRenamed("id", "row_idx"))
+        assert sorted(r.row_idx for r in pending.collect()) == list(range(60, 200))
+        plan = pending._jdf.queryExecution().executedPlan().toString()
+        # One exchange, over the rows that are asked about.
+        assert plan.count("Exchange hashpartitioning") - plan.count("== Initial Plan ==") <= 1 and "Bucketed: true" in pending._jdf.queryExecution().toString()
+        assert "Exchange" not in again.latest()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_conversion_is_resumed(spark, shards, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    store = ResultStore(spark, str(tmp_path / "store"), buckets=2)
+    work = dict(path=shards, columns=["tikz_code"], responses=str(inbox), checkpoint=str(tmp_path / "c"), store=store,
+                target=str(tmp_path / "out"))
+    asked = lambda i: submit_batch(spark, shards, str(tmp_path / f"r{i}"), "text", "m", store=store).agg(
+        F.sum("n_requests")).first()[0]
+    assert asked(0) == 15
+    (inbox / "1.jsonl").write_text("".join(response(i, "@startuml a @enduml") + "\n" for i in range(6)))
+    first = resume_batch(spark, **work).where("scope = 'all'").first()
+    assert (first.total, first.uml_valid) == (6, 6) and asked(1) == 9
+    (inbox / "2.jsonl").write_text("".join(response(i, "nothing") + "\n" for i in range(5, 15)))
+    last = resume_batch(spark, **work).where("scope = 'all'").first()
+    assert (last.total, last.uml_valid) == (15, 5) and asked(2) is None
+
+
 def test_keep_valid_tests_only_existing_columns(spark):
     df = spark.createDataFrame([(True, False), (True, None), (None, False), (False, False), (True, True)],
                                "uml_valid boolean, llm_failed boolean")
