@@ -9,8 +9,11 @@ from gradeloom.constants import MAX_SEQUENCE_LENGTH
 from gradeloom.functions.messages import training_messages
 from gradeloom.functions.tokens import pad_ids, prompt_masked_labels
 from gradeloom.operators.selection import values_at
+from gradeloom.session import written
 
 SPLIT_ORDER = ("train", "validation", "test")
+# A key and a number each: below 100 MB.
+BROADCAST_BATCHES = 1_000_000
 
 
 def _valid(df: DataFrame) -> Column:
@@ -111,15 +114,17 @@ def mask_prompt_labels(
 ) -> DataFrame:
     """Truncate, pad to the longest row of the batch, and add ``labels``.
 
-    Only the batch widths are aggregated, and adaptive execution broadcasts them where they are
-    small; otherwise the token arrays are shuffled once to meet them. Rows without a batch form one.
+    Only the batch widths are aggregated and written. Up to ``BROADCAST_BATCHES`` of them are
+    broadcast, and the token arrays stay where they are; beyond that the arrays are shuffled once,
+    but not sorted. Rows without a batch form one.
     """
     cut = df.withColumn("input_ids", F.slice("input_ids", 1, max_len))
     longest = F.max(F.least(F.size("input_ids"), F.lit(max_len))).alias("_width")
     if batch is None:
         sized = cut.withColumn("_width", df.agg(longest).scalar())
     else:
-        widths = df.groupBy(F.col(batch).alias("_batch")).agg(longest)
+        widths = written(df.groupBy(F.col(batch).alias("_batch")).agg(longest))
+        widths = F.broadcast(widths) if widths.count() <= BROADCAST_BATCHES else widths.hint("shuffle_hash")
         sized = cut.join(widths, cut[batch].eqNullSafe(widths["_batch"])).drop("_batch")
     padded = sized.withColumn(
         "input_ids", pad_ids(F.col("input_ids"), F.col("_width"), pad_id)).drop("_width")

@@ -49,35 +49,29 @@ def tfidf_cosine(
     ways. Frequent terms are broadcast: the threshold is the number of (text, term) uses
     over ``broadcast_terms``, so at most that many terms can reach it. All other terms are
     joined by shuffle, where none of them holds more than one ``broadcast_terms``-th of the
-    uses. A vocabulary that fits is broadcast whole.
+    uses. A vocabulary that fits is broadcast whole, and the second way is not planned at all.
 
-    The input is read once: its normal forms are written to the shared folder, and all
-    further passes read those. A row without any term in common with the other side has 0.
+    The input is read once: its normal forms are written to the shared folder, as is the
+    vocabulary, whose exact size decides the way. A row without any term in common with the
+    other side has 0.
     """
     texts = written(normalised(df).select(key, "_pred", "_ref"))
     # A text counts once per term, and each pair of rows has two texts.
     distinct = F.concat(*[F.array_distinct(vocabulary_terms(F.col(c))) for c in ("_pred", "_ref")])
-    # The null test is what the join below adds by itself: stated here, every use of the
-    # vocabulary has the same plan and its shuffle is computed once.
-    vocabulary = texts.select(F.explode(distinct).alias("t")).select(
-        term_key(F.col("t")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    n_terms = vocabulary.agg(F.count(F.lit(1))).scalar()
-    n_uses = vocabulary.agg(F.sum("df")).scalar()
-    n_texts = 2 * texts.agg(F.count(F.lit(1))).scalar()
-    fits = n_terms <= broadcast_terms
-    threshold = F.when(fits, 0.0).otherwise(n_uses / broadcast_terms)
+    vocabulary = written(texts.select(F.explode(distinct).alias("t")).select(
+        term_key(F.col("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n_terms, n_uses = vocabulary.agg(F.count(F.lit(1)), F.sum("df")).first()
+    n_texts = 2 * texts.count()
     weighted = vocabulary.select(
         "term", "df", (F.ln((1.0 + n_texts) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    threshold = 0.0 if n_terms <= broadcast_terms else n_uses / broadcast_terms
     frequent = F.broadcast(weighted.where(F.col("df") >= threshold).drop("df"))
-    rare = weighted.where(F.col("df") < threshold).drop("df")
 
     def terms(rows):
         bag = F.explode(term_bag(F.col("_pred"), F.col("_ref"))).alias("e")
         return rows.select(key, bag).select(
             key, term_key(F.col("e.term")).alias("term"), "e.on_right", "e.n", "e.n_left")
 
-    rare_terms = terms(texts.where(~fits)).join(frequent, "term", "left_anti")
     square = F.col("idf") * F.col("idf")
     own = F.col("n") * F.col("n") * square
     products = [(F.col("n_left") * F.col("n") * square).alias("lr"),
@@ -85,8 +79,10 @@ def tfidf_cosine(
                 F.when(F.col("on_right"), own).otherwise(0.0).alias("rr")]
     # The entries of one row are still together, so the sums shrink to one record per row
     # before the shuffle.
-    parts = terms(texts).join(frequent, "term").select(key, *products) \
-        .unionAll(rare_terms.join(rare, "term").select(key, *products))
+    parts = terms(texts).join(frequent, "term").select(key, *products)
+    if n_terms > broadcast_terms:
+        rare = weighted.where(F.col("df") < threshold).drop("df")
+        parts = parts.unionAll(terms(texts).join(frequent, "term", "left_anti").join(rare, "term").select(key, *products))
     sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("lr", "ll", "rr")])
     norm = F.sqrt(F.col("ll") * F.col("rr"))
     return texts.select(key).join(sums, key, "left").select(

@@ -402,6 +402,16 @@ def test_labels_of_rows_without_batch(spark):
     assert Q.mask_prompt_labels(df, [9], 0, batch="batch").count() == 2
 
 
+@pytest.mark.parametrize("batches", [10, 1])
+def test_arrays_move_only_for_many_batches(spark, monkeypatch, batches):
+    monkeypatch.setattr(Q, "BROADCAST_BATCHES", batches)
+    df = spark.createDataFrame([(i, i // 2, [1] * (i + 1)) for i in range(6)], "i int, batch int, input_ids array<int>")
+    out = Q.mask_prompt_labels(df, [9], 0, batch="batch")
+    assert [len(r.labels) for r in out.orderBy("i").collect()] == [2, 2, 4, 4, 6, 6]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning" in plan) == (batches == 1) and "SortMergeJoin" not in plan
+
+
 def test_a_later_failure_replaces_a_success(spark):
     rows = spark.createDataFrame([(0, "good", 0), (0, None, 1)], "row_idx long, uml_code string, line_no int")
     assert J.latest_response(rows, ["line_no"]).first().uml_code is None
