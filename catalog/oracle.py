@@ -6,7 +6,10 @@ import json
 
 from catalog.queries import CHUNK_CAP, HEADER
 from gradeloom import constants as C
-from gradeloom.functions.text import SPACE, TRIM
+
+# White space and its trimming, stated here again so that a wrong class shows.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+TRIM = rf"\A{SPACE}+|{SPACE}+\z"
 
 MODELS = (C.BASE, C.FINETUNED)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.constants import FAILED_CALL_IMAGE
+from gradeloom.constants import FAILED_CALL_IMAGE, FAILED_IN_BENCHMARK
 from gradeloom.functions.diagrams import check_diagram, render_error
 
 
@@ -35,7 +35,7 @@ def result_row(
 
 
 def check_predictions(
-    df: DataFrame, code: str = "uml_pred", failed_message: str = "LLM failure"
+    df: DataFrame, code: str = "uml_pred", failed_message: str = FAILED_IN_BENCHMARK
 ) -> DataFrame:
     """Add validity columns to predictions by the local check; NULL is a failed call."""
     verdict = df.withColumn("_check", check_diagram(F.col(code)))
