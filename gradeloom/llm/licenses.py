@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,37 +20,54 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words of the lower-cased text; A-Z are still in the text where words are taken from it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GATES = ("license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "spdx", "cc", "cc0",
-         "permission", "redistribution", "domain", "copyleft", "wtfpl", "cddl", "eupl")
+         "permission", "redistribution", "domain", "copyleft", "wtfpl", "cddl", "eupl",
+         *(f"{name}{v}{n}" for name, v, n in product(("gpl", "lgpl", "agpl"), ("", "v"), (2, 3))))
 _OTHER = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]"
 GATE = rf"(?i)(?:^|{_OTHER})(?:{'|'.join(GATES)})(?:$|{_OTHER})"
 
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-_V = r"(?: version| v)?"
 _L = r" licen[sc]e"
+
+
+def _v(major: int, rest: str = "(?: 0)?") -> str:
+    """A version in its written forms: "3.0", "version 3", "v 3", "v3"."""
+    return rf"(?:(?: version| v)? {major}| v{major}){rest}"
+
+
 # Names by label; the first word is fixed. More specific names stand before general ones.
 NAMES = {
-    "agpl-3.0": rf"gnu affero general public{_L}{_V} 3(?: 0)?", "agpl": rf"gnu affero general public{_L}",
-    "lgpl-2.0": rf"gnu library general public{_L}{_V} 2(?: 0)?", "lgpl-2.1": rf"gnu lesser general public{_L}{_V} 2 1",
-    "lgpl-3.0": rf"gnu lesser general public{_L}{_V} 3(?: 0)?", "lgpl": rf"gnu (?:lesser|library) general public{_L}",
-    "gpl-1.0": rf"gnu general public{_L}{_V} 1(?: 0)?", "gpl-2.0": rf"gnu general public{_L}{_V} 2(?: 0)?",
-    "gpl-3.0": rf"gnu general public{_L}{_V} 3(?: 0)?", "gpl": rf"gnu general public{_L}",
-    "gfdl-1.2": rf"gnu free documentation{_L}{_V} 1 2", "gfdl-1.3": rf"gnu free documentation{_L}{_V} 1 3",
+    "agpl-3.0": rf"gnu affero general public{_L}{_v(3)}", "agpl": rf"gnu affero general public{_L}",
+    "lgpl-2.0": rf"gnu library general public{_L}{_v(2)}", "lgpl-2.1": rf"gnu lesser general public{_L}{_v(2, ' 1')}",
+    "lgpl-3.0": rf"gnu lesser general public{_L}{_v(3)}", "lgpl": rf"gnu (?:lesser|library) general public{_L}",
+    "gpl-1.0": rf"gnu general public{_L}{_v(1)}", "gpl-2.0": rf"gnu general public{_L}{_v(2)}",
+    "gpl-3.0": rf"gnu general public{_L}{_v(3)}", "gpl": rf"gnu general public{_L}",
+    "gfdl-1.2": rf"gnu free documentation{_L}{_v(1, ' 2')}", "gfdl-1.3": rf"gnu free documentation{_L}{_v(1, ' 3')}",
     "gfdl": rf"gnu free documentation{_L}",
-    "apache-1.1": rf"apache(?: software)?{_L}{_V} 1 1", "apache-2.0": rf"apache(?: software)?{_L}{_V} 2(?: 0)?",
+    "apache-1.1": rf"apache(?: software)?{_L}{_v(1, ' 1')}", "apache-2.0": rf"apache(?: software)?{_L}{_v(2)}",
     "apache": rf"apache(?: software)?{_L}", "mit": rf"mit{_L}", "mit-0": rf"mit no attribution{_L}", "x11": rf"x11{_L}",
     "isc": rf"isc{_L}", "zlib": rf"zlib{_L}", "libpng": rf"libpng{_L}", "ncsa": rf"ncsa(?: open source)?{_L}",
     "bsd-2-clause": rf"bsd 2 clause{_L}", "bsd-3-clause": rf"bsd 3 clause{_L}", "bsd-4-clause": rf"bsd 4 clause{_L}",
     "bsd-zero": rf"bsd zero clause{_L}", "bsd": rf"bsd(?: style)?{_L}",
-    "mpl-1.1": rf"mozilla public{_L}{_V} 1 1", "mpl-2.0": rf"mozilla public{_L}{_V} 2(?: 0)?", "mpl": rf"mozilla public{_L}",
-    "epl-1.0": rf"eclipse public{_L}{_V} 1(?: 0)?", "epl-2.0": rf"eclipse public{_L}{_V} 2(?: 0)?", "epl": rf"eclipse public{_L}",
-    "cddl-1.0": rf"common development and distribution{_L}", "eupl": rf"european union public{_L}", "artistic-2.0": rf"artistic{_L}{_V} 2(?: 0)?",
+    "mpl-1.1": rf"mozilla public{_L}{_v(1, ' 1')}", "mpl-2.0": rf"mozilla public{_L}{_v(2)}", "mpl": rf"mozilla public{_L}",
+    "epl-1.0": rf"eclipse public{_L}{_v(1)}", "epl-2.0": rf"eclipse public{_L}{_v(2)}", "epl": rf"eclipse public{_L}",
+    "cddl-1.0": rf"common development and distribution{_L}", "eupl": rf"european union public{_L}", "artistic-2.0": rf"artistic{_L}{_v(2)}",
     "artistic": rf"artistic{_L}", "boost": rf"boost software{_L}", "postgresql": rf"postgresql{_L}", "python": rf"python software foundation{_L}",
     "ofl-1.1": rf"sil open font{_L}", "ms-pl": rf"microsoft public{_L}", "odbl": rf"open database{_L}", "osl-3.0": rf"open software{_L}",
     "cc0": r"cc0", "cc-by-nc-nd": r"cc by nc nd(?: \d)?(?: \d)?", "cc-by-nc-sa": r"cc by nc sa(?: \d)?(?: \d)?",
     "cc-by-nc": r"cc by nc(?: \d)?(?: \d)?", "cc-by-nd": r"cc by nd(?: \d)?(?: \d)?", "cc-by-sa": r"cc by sa(?: \d)?(?: \d)?",
     "cc-by-4.0": r"cc by 4 0", "cc-by-3.0": r"cc by 3 0", "cc-by": r"cc by",
 }
+# Short forms, the version often in one word with the name.
+SHORT = (
+    ("gpl-2.0", r"(?:gplv2|gpl2)(?: 0)?"), ("gpl-3.0", r"(?:gplv3|gpl3)(?: 0)?"), ("lgpl-2.1", r"lgplv2 1"),
+    ("lgpl-3.0", r"(?:lgplv3|lgpl3)(?: 0)?"), ("agpl-3.0", r"(?:agplv3|agpl3)(?: 0)?"),
+    ("gpl-2.0", rf"gpl{_v(2)}{_L}"), ("gpl-3.0", rf"gpl{_v(3)}{_L}"), ("lgpl-2.1", rf"lgpl{_v(2, ' 1')}{_L}"),
+    ("lgpl-3.0", rf"lgpl{_v(3)}{_L}"), ("agpl-3.0", rf"agpl{_v(3)}{_L}"),
+    ("apache-2.0", rf"apache{_v(2)}{_L}"), ("mpl-2.0", rf"mpl{_v(2)}{_L}"), ("mpl-1.1", rf"mpl{_v(1, ' 1')}{_L}"),
+    ("bsd-2-clause", rf"2 clause bsd{_L}"), ("bsd-3-clause", rf"3 clause bsd{_L}"), ("bsd-4-clause", rf"4 clause bsd{_L}"),
+    ("bsd-3-clause", rf"(?:new|modified|revised) bsd{_L}"), ("bsd-2-clause", rf"(?:simplified|freebsd) bsd{_L}"),
+)
 # Phrases that introduce a name; the first word is fixed.
 LEADS = ("licensed under(?: the)?(?: terms of the)?", "released under(?: the)?(?: terms of the)?",
          "distributed under(?: the)?(?: terms of the)?", "available under(?: the)?(?: terms of the)?")
@@ -84,16 +102,17 @@ def _first(pattern: str) -> tuple[str, ...]:
 def signature_rules() -> list[Rule]:
     """Whole sentences, then introduced names, then SPDX tags, then bare names."""
     rules = [Rule(_first(p), p, label, 1, CERTAIN) for label, p in TEXTS.items()]
-    rules += [Rule(_first(lead), f"{lead} {p}", label, 1, CERTAIN) for lead in LEADS for label, p in NAMES.items()]
+    named = [*NAMES.items(), *SHORT]
+    rules += [Rule(_first(lead), f"{lead} {p}", label, 1, CERTAIN) for lead in LEADS for label, p in named]
     rules += [Rule(("spdx",), "spdx license identifier " + label.replace("-", " ").replace(".", " "), label, 1, STRONG)
               for label in NAMES]
-    rules += [Rule(_first(p), p, label, 2, NAMED) for label, p in NAMES.items()]
+    rules += [Rule(_first(p), p, label, 2, NAMED) for label, p in named]
     return rules
 
 
 RULES = signature_rules()
 # No rule spans more words, and no word starts more rules; both are checked by tests.
-MOST_WORDS, MOST_RULES = 16, 64
+MOST_WORDS, MOST_RULES = 16, 96
 
 
 def _lower(text: Column) -> Column:

@@ -181,6 +181,17 @@ def test_every_license_phrase_has_a_gate_word(documents):
     assert [out[i].score for i in range(5)] == [0.8, 0.8, 1.0, 1.0, 0.0]
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("GNU General Public License v3", "gpl,gpl-3.0"), ("the GNU General Public License, version 2 or later", "gpl,gpl-2.0"),
+    ("Apache License v2", "apache,apache-2.0"), ("Apache 2.0 License", "apache-2.0"), ("GPLv3", "gpl-3.0"), ("under LGPLv2.1", "lgpl-2.1"),
+    ("licensed under the LGPLv2.1", "lgpl-2.1"), ("Mozilla Public License v2.0", "mpl-2.0"), ("3-Clause BSD License", "bsd-3-clause"),
+    ("New BSD licence", "bsd-3-clause"), ("GPL v2 license", "gpl-2.0"), ("AGPL3 only", "agpl-3.0"), ("GPL version 3.0 license", "gpl-3.0"),
+    ("GNU Lesser General Public License v2.1", "lgpl-2.1"), ("Apache License Version 1.1", "apache,apache-1.1"), ("gplv4 apache2", ""),
+])
+def test_license_forms(documents, text, labels):
+    assert licenses.summarised(licenses.scanned(documents([(1, f"See: {text}.")]))).first().labels == labels
+
+
 def test_license_suppression(documents, odd):
     text = "Licensed under the Apache License, Version 2.0 or MIT license MIT License"
     row = licenses.scanned(documents([(1, text)])).first()
