@@ -10,6 +10,7 @@ before each partition. Lengths are limited to ``MAX_BITS`` by package-merge, so
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,12 +35,11 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-WORDS, PIECES = 150_000, 20_000
+COLUMN_BYTES = 1 << 24
+WORDS, PIECES = 150_000, 100_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
-# A blank next to other white space, where pieces of the text do not split at every blank.
-_LOOSE = re.compile(r"\s | \s")
 
 RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, bits binary, marks binary"
@@ -47,7 +48,8 @@ BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tok
 class _Tables:
     """Ids of words, in a recent and an older generation of at most ``WORDS`` each, and of pieces.
 
-    Words in use move on to the recent generation, so rare ones do not push out frequent ones.
+    Words in use move on to the recent generation, so rare ones do not push out frequent ones. A
+    word that stands once in its column of texts is not kept.
     """
 
     def __init__(self):
@@ -72,8 +74,9 @@ class Encoder:
 
     Byte-level BPE splits a text by a fixed pattern and encodes the pieces alone. The pattern
     always splits before a blank between two other characters that are not white space, so
-    the words between blanks are encoded alone as well, and new ones piece by piece. Texts with
-    other white space around blanks or with a special token, words with characters on whose
+    the words between blanks are encoded alone as well, and new ones piece by piece: once per
+    column of texts, whose distinct words Arrow finds. Texts with other white space around
+    blanks, where pieces do not split at every blank, or with a special token, words with characters on whose
     kind libraries may differ, and other kinds of tokenizers are left to the tokenizer.
     """
 
@@ -87,63 +90,111 @@ class Encoder:
         self.by_piece = (
             model["type"] == "BPE" and not model.get("dropout") and before.get("type") == "ByteLevel"
             and before.get("use_regex") and not before.get("add_prefix_space") and about["normalizer"] is None)
-        self.tables, self.merge = _kept_here(path), self.tokenizer.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.tables, self.merge = _kept_here(path), self.tokenizer.model.tokenize
         self.pattern = regex.compile(PATTERN)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def merged(self, letters: str) -> bytes:
-        """Ids of a piece whose bytes are written as the model's letters."""
-        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+    def split(self, word: str) -> tuple[str, ...] | list[str]:
+        """The pieces of a blank and a word."""
+        if word.isalpha():
+            return (" " + word,)
+        core = word.rstrip(string.punctuation)
+        # Letters are one piece, and so are the marks after them.
+        return (" " + core, word[len(core):]) if core.isalpha() else self.pattern.findall(" " + word)
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, written in the model's letters; between them stands a character that no piece has."""
+        letters = "\0".join(pieces).encode().decode("latin-1").translate(self.letters | {0: " "})
+        return [array("I", [t.id for t in self.merge(p)]).tobytes() for p in letters.split(" ")]
 
-    def known_piece(self, piece: str) -> bytes:
+    def new_words(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank and each word."""
+        split = [self.split(w) if w.isascii() or _PLAIN.fullmatch(w) else None for w in words]
         known = self.tables.pieces
-        ids = known.get(piece)
-        if ids is None:
-            if len(known) >= PIECES:
-                known.clear()
-            ids = known[piece] = self.merged(piece.encode().decode("latin-1").translate(self.letters))
-        return ids
-
-    def new_word(self, word: str) -> bytes:
-        """Ids of a blank and a word."""
-        core = word.rstrip(string.punctuation)
-        if core.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
-            # Letters are one piece, and so are the marks after them.
-            if len(core) < len(word):
-                return self.word(core) + self.known_piece(word[len(core):])
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            return self.merged(self.letters[32] + letters)
-        text = " " + word
-        if not _PLAIN.fullmatch(word):
-            return self.whole(text).tobytes()
-        return b"".join(map(self.known_piece, self.pattern.findall(text)))
-
-    def word(self, word: str) -> bytes:
+        found = {p: known.get(p) for pieces in split if pieces for p in pieces}
+        new = [p for p, ids in found.items() if ids is None]
+        if new:
+            found.update(zip(new, self.merged(new), strict=True))
+        # Pieces without a blank are few and come again; those with one are words.
+        known.update((p, found[p]) for p in new if p[0] != " ")
+        if len(known) > PIECES:
+            known.clear()
+        return [self.whole(" " + w).tobytes() if pieces is None else b"".join(map(found.__getitem__, pieces))
+                for w, pieces in zip(words, split, strict=True)]
+
+    def words(self, words: list[str], times: list[int]) -> list[bytes]:
+        """Ids of a blank and each word that stands somewhere; those that come again are kept."""
         tables = self.tables
-        ids = tables.recent.get(word)
-        if ids is None:
-            ids = tables.older.get(word)
-            if ids is None:
-                ids = self.new_word(word)
-            if len(tables.recent) >= WORDS:
-                tables.older, tables.recent = tables.recent, {}
-            tables.recent[word] = ids
-        return ids
+        got = list(map(tables.recent.get, words))
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            got[i] = tables.older.get(words[i])
+        new = [i for i, ids in enumerate(got) if ids is None and times[i]]
+        for i, ids in zip(new, self.new_words([words[i] for i in new]), strict=True):
+            got[i] = ids
+        for word, n, ids in zip(words, times, got, strict=True):
+            if n > 1:
+                if len(tables.recent) >= WORDS:
+                    tables.older, tables.recent = tables.recent, {}
+                tables.recent[word] = ids
+        return [ids or b"" for ids in got]
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.by_piece or _LOOSE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        got = list(map(self.tables.recent.get, rest))
-        for i, ids in enumerate(got):
-            if ids is None:
-                got[i] = self.word(rest[i])
-        return np.frombuffer(self.whole(first).tobytes() + b"".join(got), np.uint32)
+        return self.column(pa.array([text]))[0]
+
+    def column(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text. Every distinct word is looked up once for all of them."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            return [self.whole(t) for t in texts.to_pylist()]
+        # A column makes many small objects and no cycles, so looking for cycles only costs time.
+        gc.disable()
+        try:
+            return self._by_words(texts)
+        finally:
+            gc.enable()
+
+    def _by_words(self, texts: pa.StringArray) -> list[np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().copy()
+        starts, lasts = ends[:-1], ends[1:] - 1
+        first = coded.dictionary.take(pa.array(at[starts])).to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        left = self._loose(words, at, starts, lasts)
+        for special in self.special:
+            left |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        # A text's first word has no blank before it, so its ids are an entry of their own. In texts
+        # left to the tokenizer that entry holds all ids, and the other words none.
+        none = len(words)
+        at[np.repeat(left, np.diff(ends))] = none
+        at[starts] = none + 1 + np.arange(len(texts), dtype=np.int32)
+        times = np.bincount(at, minlength=none)[:none].tolist()
+        ids = self.words(words, times)
+        ids.append(b"")
+        ids += [self.whole(texts[i].as_py() if whole else first[i]).tobytes() for i, whole in enumerate(left.tolist())]
+        bounds = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) >> 2, out=bounds[1:])
+        entries = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        taken = entries.take(pa.array(at))
+        values, cuts = taken.flatten().to_numpy(), taken.offsets.to_numpy()[ends]
+        return np.split(values, cuts[1:-1])
+
+    @staticmethod
+    def _loose(words: list[str], at: np.ndarray, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """Which texts have a blank next to other white space, by their words' ends."""
+        flags = np.fromiter(((w[0].isspace() | w[-1].isspace() << 1) if w else 4 for w in words), np.uint8, len(words))
+        if not flags.any():
+            return np.zeros(len(starts), bool)
+        found = flags[at]
+        found[starts] &= 2
+        found[lasts] &= 1
+        return np.bitwise_or.reduceat(found, starts) > 0
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -155,7 +206,19 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return keyed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
 
 
-def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], end_id: int) -> DataFrame:
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``COLUMN_BYTES`` of text, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    start = done = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, done + COLUMN_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])
+
+
+def raw_blocks(
+    docs: DataFrame, encoder: Callable[[], Callable[[pa.StringArray], list[np.ndarray]]], end_id: int
+) -> DataFrame:
     """Blocks with plain ids. A null doc_id, which sorts first, is written as the smallest long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,9 +236,9 @@ def raw_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray
                 ["part", "block", "first", "doc_ids", "lengths", "n_tokens", "ids"])
 
         size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                got = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+        for rows in (rows for batch in batches for rows in _slices(batch)):
+            for doc, found in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text")), strict=True):
+                got = np.append(found, np.uint32(end_id))
                 if ids and size + len(got) > BLOCK_TOKENS:
                     yield close()
                     block, first, ids, docs_in, size = block + 1, first + size, [], [], 0
@@ -324,7 +387,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     gives an empty file.
     """
     spark = docs.sparkSession
-    raw = stored(raw_blocks(docs, lambda: Encoder(tokenizer_path), end_id))
+    raw = stored(raw_blocks(docs, lambda: Encoder(tokenizer_path).column, end_id))
     return _write(spark, raw, path)
 
 
