@@ -25,8 +25,10 @@ from gradeloom.llm.shared import stored, unused
 # Strings whose counts tell languages and styles apart.
 MARKS = ("e", "a", "t", "i", "o", "n", "s", "r", "h", "d", "l", "u", "th", "ch", "ei", "ou",
          "é", "è", "ç", "ä", "ö", "ü", "ß", "ñ", "ó", "í", "%", "|", "!")
-# Counts are scaled to this many marks, since the marks of one text are not independent.
-EVIDENCE = 20.0
+# The marks of one text are not independent, so a long text counts as at most this many. Which of
+# these numbers is right is decided by the likelihood of labelled rows the classifier has not seen;
+# the first one also stands where there are none.
+EVIDENCE = (20.0, 2.5, 5.0, 10.0, 40.0, 80.0, 160.0, 640.0)
 STEPS, TOLERANCE = 50, 1e-7
 
 
@@ -37,6 +39,7 @@ class Domains:
     names: list[str]
     prior: list[float]
     log_p: list[list[float]]
+    evidence: float = EVIDENCE[0]
 
 
 def token_count(text: Column) -> Column:
@@ -59,30 +62,66 @@ def _sum(terms: list[Column]) -> Column:
 
 
 def fit_domains(labelled: DataFrame, names: list[str], counts: str = "marks") -> Domains:
-    """Fit on ``labelled`` (domain, array of mark counts); all its rows count, other domains do not."""
-    rows = labelled.where(F.col("domain").isin(names)).groupBy("domain").agg(
+    """Fit on ``labelled`` (domain, array of mark counts); all its rows count, other domains do not.
+
+    A fit on the rows of one half, by a hash of the counts, chooses ``evidence`` on the other.
+    """
+    rows = stored(labelled.where(F.col("domain").isin(names)).select(
+        "domain", F.col(counts).alias("marks"), F.pmod(F.xxhash64(counts), F.lit(2)).alias("half")))
+    sums = rows.groupBy("domain", "half").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(counts)[i].cast("double")).alias(f"m{i}") for i in range(len(MARKS))]).collect()
-    by = {r.domain: r for r in rows}
+        *[F.sum(F.col("marks")[i].cast("double")).alias(f"m{i}") for i in range(len(MARKS))]).collect()
+    part = _domains(names, [r for r in sums if r.half == 0])
+    held_out = stored(rows.where("half = 1").select(
+        F.array_position(F.lit(names), F.col("domain")).cast("int").alias("at"),
+        F.array(*_evidence(part, F.col("marks"))).alias("sums"), _size(F.col("marks")).alias("size")))
+
+    def likelihood(evidence: float) -> Column:
+        packed = _exponents([F.lit(x) + _scale(evidence, F.col("size")) * F.col("sums")[i]
+                             for i, x in enumerate(part.prior)])
+        share = F.element_at(packed, F.col("at")) / F.aggregate(packed, F.lit(0.0), lambda a, x: a + x)
+        return F.sum(F.log(F.greatest(share, F.lit(1e-300))))
+    found = held_out.agg(*[likelihood(e) for e in EVIDENCE]).first()
+    model = _domains(names, sums)
+    if found[0] is not None:
+        model.evidence = EVIDENCE[int(np.argmax(found))]
+    return model
+
+
+def _domains(names: list[str], rows: list) -> Domains:
     total = sum(r.n for r in rows)
     prior, log_p = [], []
     for name in names:
-        sums = np.array([by[name][f"m{i}"] for i in range(len(MARKS))]) if name in by else np.zeros(len(MARKS))
-        prior.append(float(np.log(((by[name].n if name in by else 0) + 1) / (total + len(names)))))
+        own = [r for r in rows if r.domain == name]
+        sums = np.array([sum(r[f"m{i}"] for r in own) for i in range(len(MARKS))], float)
+        prior.append(float(np.log((sum(r.n for r in own) + 1) / (total + len(names)))))
         log_p.append([float(x) for x in np.log((sums + 1) / (sums.sum() + len(MARKS)))])
     return Domains(names, prior, log_p)
 
 
-def posterior(model: Domains, counts: Column) -> Column:
-    """Unscaled probabilities of the domains, an array; a text without marks has the prior."""
-    size = _sum([counts[i].cast("double") for i in range(len(MARKS))])
-    scale = F.lit(EVIDENCE) / F.greatest(size, F.lit(EVIDENCE))
-    scores = [F.lit(prior) + scale * _sum([counts[i] * F.lit(x) for i, x in enumerate(log_p)])
-              for prior, log_p in zip(model.prior, model.log_p, strict=True)]
+def _size(counts: Column) -> Column:
+    return _sum([counts[i].cast("double") for i in range(len(MARKS))])
+
+
+def _scale(evidence: float, size: Column) -> Column:
+    return F.lit(evidence) / F.greatest(size, F.lit(evidence))
+
+
+def _evidence(model: Domains, counts: Column) -> list[Column]:
+    return [_sum([counts[i] * F.lit(x) for i, x in enumerate(log_p)]) for log_p in model.log_p]
+
+
+def _exponents(scores: list[Column]) -> Column:
     # The lambda's variable holds the scores, so that they are computed once.
     return F.transform(F.array(F.array(*scores)), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
 
 
+def posterior(model: Domains, counts: Column) -> Column:
+    """Unscaled probabilities of the domains, an array; a text without marks has the prior."""
+    scale = _scale(model.evidence, _size(counts))
+    return _exponents([F.lit(x) + scale * e for x, e in zip(model.prior, _evidence(model, counts), strict=True)])
+
+
 @dataclass
 class Rates:
     """Past steps; ``of`` gives a document's rate from its posterior."""
