@@ -35,8 +35,8 @@ from gradeloom.llm.shared import stored, work_dir
 
 END_ID = 2
 MAX_BITS, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-COLUMN_BYTES = 1 << 24
-WORDS, PIECES = 150_000, 100_000
+COLUMN_BYTES = 1 << 22
+WORDS, PIECES = 100_000, 50_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
