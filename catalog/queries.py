@@ -27,7 +27,7 @@ from gradeloom.plans.benchmark import benchmark_rows
 from gradeloom.plans.compare import score_models
 from gradeloom.session import shared_dir, written
 from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines, unreadable_lines
-from gradeloom.sources.shards import read_shards, tag_split, union_shards, with_row_index
+from gradeloom.sources.shards import read_shards, shard_name, tag_split, union_shards, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import eval_split, ground_truth
 from gradeloom.sources.store import ResultStore
@@ -333,7 +333,7 @@ def check_predictions(spark, sf_dir):
 @query()
 def shard_census(spark, sf_dir):
     files = tag_split(V.shards(spark, sf_dir), sep=".").select(
-        "split", F.col("_metadata.file_name").alias("file_name"))
+        "split", shard_name().alias("file_name"))
     return R.shard_census(files)
 
 

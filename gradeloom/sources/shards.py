@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from fnmatch import fnmatchcase
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE_NAME = "_metadata.file_name"
+# No file needs to have this column: for passes that list or count only.
+NO_COLUMNS = T.StructType([T.StructField("none", T.BooleanType())])
+# A shard is a file, or a folder of part files that is named like one: its name, and what follows it.
+SHARD = r"([^/]+\.parquet)(?:(?:/[^/=]+=[^/]*)*/[^/]+)?$"
 # So many paths, of up to a few hundred bytes each, stay below 100 MB.
 BROADCAST_FILES = 200_000
 
@@ -20,10 +25,16 @@ def split_name(file_name: Column, sep: str = "-") -> Column:
     return F.split_part(file_name, F.lit(sep), F.lit(1))
 
 
+def shard_name() -> Column:
+    """The name of the file a row is read from, or of the folder if that is one shard in parts."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), SHARD, 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.col(FILE_NAME))
+
+
 def exclude_files(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Leave out files by base name; Spark drops them while planning the scan."""
+    """Leave out files or shards by base name; Spark drops them while planning the scan."""
     names = list(names)
-    return df.where(~F.col(FILE_NAME).isin(names)) if names else df
+    return df.where(~F.col(FILE_NAME).isin(names) & ~shard_name().isin(names)) if names else df
 
 
 def _files(df: DataFrame) -> list[str]:
@@ -31,6 +42,17 @@ def _files(df: DataFrame) -> list[str]:
     return sorted(unquote(f) for f in df.inputFiles())
 
 
+def _in_parts(files: Iterable[str], paths: Sequence[str]) -> dict[str, list[str]]:
+    """Folders that are one shard each, directly below one of ``paths``, with their files."""
+    wanted = ["*/" + re.sub(r"^(\w+:(//[^/]*)?)?(\.?/)*", "", p).rstrip("/") for p in paths]
+    shards: dict[str, list[str]] = {}
+    for file in files:
+        found = re.search(SHARD, file)
+        if found and found.end(1) < len(file) and any(fnmatchcase(file[:found.start() - 1], w) for w in wanted):
+            shards.setdefault(file[:found.end(1)], []).append(file)
+    return shards
+
+
 def read_shards(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -40,8 +62,9 @@ def read_shards(
 ) -> DataFrame:
     """All Parquet shards under ``path``, only the listed columns read.
 
-    Files named in ``exclude`` are no part of the table. File metadata stays available, so
-    ``tag_split`` and ``with_row_index`` can follow.
+    A shard is a file, or a folder named like one that holds its part files. Files and shards named
+    in ``exclude`` are no part of the table. File metadata stays available, so ``tag_split`` and
+    ``with_row_index`` can follow.
     """
     paths = [path] if isinstance(path, str) else list(path)
 
@@ -49,21 +72,28 @@ def read_shards(
         reader = spark.read.option("pathGlobFilter", "*.parquet").options(**options)
         return (reader.schema(schema) if schema is not None else reader).parquet(*found)
 
-    df = read(*paths)
-    # The file list is the scan's own; no data is read here.
-    files, left_out = _files(df), set(exclude)
+    # The file lists are the scans' own; no data is read here.
+    listing = spark.read.schema(NO_COLUMNS).option("pathGlobFilter", "*.parquet")
+    files, left_out = _files(listing.parquet(*paths)), set(exclude)
+    deeper = set(_files(listing.option("recursiveFileLookup", True).parquet(*paths))).difference(files)
     kept = [f for f in files if f.rsplit("/", 1)[-1] not in left_out]
+    in_parts = {s: f for s, f in _in_parts(deeper, paths).items() if s.rsplit("/", 1)[-1] not in left_out}
+    for shard, parts in in_parts.items():
+        some = [f for f in parts if f.rsplit("/", 1)[-1] not in left_out]
+        kept += [shard] if len(some) == len(parts) else some
     if not kept:
         raise FileNotFoundError(f"no parquet files under {', '.join(paths)}")
-    if len(kept) < len(files):
+    if len(kept) == len(files) and not in_parts:
+        df = read(*paths)
+    else:
         # Columns named by folders are found relative to the folder that was asked for.
         folder = len(paths) == 1 and not re.search(r"[*?\[{]", path := paths[0])
-        df = read(*kept, **({"basePath": path} if folder else {}))
+        df = read(*sorted(kept), **({"basePath": path} if folder else {}))
     return df.select(*columns) if columns else df
 
 
 def tag_split(df: DataFrame, sep: str = "-") -> DataFrame:
-    return df.withColumn("split", split_name(F.col(FILE_NAME), sep))
+    return df.withColumn("split", split_name(shard_name(), sep))
 
 
 def file_offsets(df: DataFrame) -> DataFrame:
@@ -73,8 +103,7 @@ def file_offsets(df: DataFrame) -> DataFrame:
     the rows of all files before, in path order.
     """
     files = _files(df)
-    none = T.StructType([T.StructField("none", T.BooleanType())])
-    counts = df.sparkSession.read.schema(none).parquet(*files).groupBy(
+    counts = df.sparkSession.read.schema(NO_COLUMNS).parquet(*files).groupBy(
         F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     # One row per file.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,7 +23,7 @@ from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
 from gradeloom.sources import responses
 from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines, unreadable_lines
-from gradeloom.sources.shards import file_offsets, read_shards, table_rows, tag_split, with_row_index
+from gradeloom.sources.shards import exclude_files, file_offsets, read_shards, shard_name, table_rows, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
 from gradeloom.sources.store import ResultStore
@@ -337,6 +337,24 @@ def test_excluded_files_keep_folder_columns(spark, tmp_path):
     assert [r.part for r in kept.select("part").distinct().collect()] == ["x b"] and kept.count() == 3
 
 
+def test_shards_in_parts(spark, tmp_path):
+    """Shards that are folders of part files count as one file each, beside plain files."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for name, ids in (("b.parquet/part-0", [3, 4]), ("b.parquet/part-1", [5]), ("a", [1, 2]), ("c.parquet/part-0", [9]), ("other/x", [8])):
+        path = tmp_path / f"{name}.parquet"
+        path.parent.mkdir(exist_ok=True)
+        pq.write_table(pa.table({"i": ids}), path)
+    df = read_shards(spark, str(tmp_path), exclude=["c.parquet"])
+    rows = with_row_index(tag_split(df.withColumn("name", shard_name()), sep=".")).orderBy("i").collect()
+    assert [tuple(r) for r in rows] == [
+        (i + 1, "a.parquet" if i < 2 else "b.parquet", "a" if i < 2 else "b", i) for i in range(5)]
+    assert exclude_files(df, ["b.parquet"]).count() == 2 and exclude_files(df, ["part-1.parquet"]).count() == 4
+    assert read_shards(spark, str(tmp_path), exclude=["part-1.parquet", "c.parquet"]).count() == 4
+    with pytest.raises(FileNotFoundError):
+        read_shards(spark, str(tmp_path), exclude=["a.parquet", "b.parquet", "c.parquet"])
+
+
 def in_files(spark, folder, rows, schema, sizes):
     start = 0
     for i, n in enumerate(sizes):
