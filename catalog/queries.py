@@ -34,6 +34,8 @@ from gradeloom.sources.store import ResultStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHUNK_CAP = 100_000
+# Of rows in one file written by a query, before compression.
+FILE_BYTES = 64 << 20
 # Ids of two words that follow each other in some documents and not in others.
 HEADER = [301, 201]
 _QUERIES: dict[str, Query] = {}
@@ -236,9 +238,11 @@ def attach_ground_truth(spark, sf_dir):
         "row_idx", "uml_pred", "uml_code_gt")
 
 
-def _files(df: DataFrame, order: str, files: int) -> DataFrame:
-    """The table as ``files`` files in row order, without its order column, read again."""
+def _files(df: DataFrame, order: str, files: int, n_bytes: int) -> DataFrame:
+    """The table in row order, without its order column, read again from ``files`` files or more:
+    each is one task's, so ``n_bytes`` of rows are cut at ``FILE_BYTES``."""
     path = _folder(df.sparkSession)
+    files = max(files, -(-n_bytes // FILE_BYTES))
     df.repartitionByRange(files, order).sortWithinPartitions(order).drop(order).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -248,8 +252,11 @@ def attach_ground_truth_by_position(spark, sf_dir):
     """Predictions and truth in files cut at different rows, neither with row ids."""
     predictions = V.base_pairs(spark, sf_dir).select("row_idx", F.col("row_idx").alias("key"), "uml_pred", "uml_code_gt")
     truth = V.flagged(spark, sf_dir).select("row_idx", F.upper("split").alias("uml_code"))
+    # A prediction holds two texts of the documents, a truth only a split, beside their keys.
+    texts, splits = V.table(spark, sf_dir, "documents").agg(*[
+        F.coalesce(F.sum(F.coalesce(F.octet_length(c), F.lit(0)) + 16), F.lit(0)) for c in ("text", "source")]).first()
     return J.attach_ground_truth_by_position(
-        _files(predictions, "row_idx", 3), _files(truth, "row_idx", 7)).select("key", "uml_pred", "uml_code_gt")
+        _files(predictions, "row_idx", 3, 2 * texts), _files(truth, "row_idx", 7, splits)).select("key", "uml_pred", "uml_code_gt")
 
 
 @query()

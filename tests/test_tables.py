@@ -23,6 +23,7 @@ from gradeloom.plans.prepare import prepare_training
 from gradeloom.session import shared_dir
 from gradeloom.sources import responses
 from gradeloom.sources.responses import parse_responses, read_batch_responses, response_lines, unreadable_lines
+from catalog import queries
 from gradeloom.sources.shards import exclude_files, file_offsets, read_shards, shard_name, table_rows, tag_split, with_row_index
 from gradeloom.sources.sinks import export_split, write_detail_csv, write_request_chunks, write_results
 from gradeloom.sources.splits import read_eval_split, read_ground_truth
@@ -355,6 +356,13 @@ def test_shards_in_parts(spark, tmp_path):
         read_shards(spark, str(tmp_path), exclude=["a.parquet", "b.parquet", "c.parquet"])
 
 
+def test_files_of_a_query_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_BYTES", 100)
+    df = queries._files(spark.range(50).withColumn("key", F.col("id")), "id", 3, 1000)
+    assert len(df.inputFiles()) == 10
+    assert [r.key for r in with_row_index(df).orderBy("row_idx").collect()] == list(range(50))
+
+
 def in_files(spark, folder, rows, schema, sizes):
     start = 0
     for i, n in enumerate(sizes):
