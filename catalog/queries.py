@@ -54,12 +54,13 @@ def queries() -> dict[str, Query]:
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    return score_models(V.base_pairs(spark, sf_dir), V.finetuned_pairs(spark, sf_dir))
+    """Scores of both models; the texts stay behind, for no report reads them."""
+    return score_models(V.base_pairs(spark, sf_dir), V.finetuned_pairs(spark, sf_dir), detail=("row_idx", *V.FLAGS))
 
 
 def _score_table(spark, sf_dir) -> DataFrame:
     """Scores as a written table, for reports that read them more than once."""
-    return written(_scores(spark, sf_dir).drop("uml_pred", "uml_code_gt"))
+    return written(_scores(spark, sf_dir))
 
 
 # Sources
@@ -574,7 +575,7 @@ def vector_cosine_pairs(spark, sf_dir):
 
 @query()
 def score_pairs(spark, sf_dir):
-    return V.rounded(_scores(spark, sf_dir).drop("uml_pred", "uml_code_gt"))
+    return V.rounded(_scores(spark, sf_dir))
 
 
 # Reports over scores

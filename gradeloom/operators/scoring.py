@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions.ngrams import term_uses
 from gradeloom.functions.similarity import (
-    exact_match, term_bag, term_key, token_prf, vector_cosine, vocabulary_terms,
+    counted_prf, counted_terms, exact_match, term_key, text_measures, token_prf, vector_cosine,
 )
 from gradeloom.functions.similarity import sentence_bleu as bleu
 from gradeloom.functions.text import normalise_code
@@ -51,15 +52,21 @@ def tfidf_cosine(
     joined by shuffle, where none of them holds more than one ``broadcast_terms``-th of the
     uses. A vocabulary that fits is broadcast whole, and the second way is not planned at all.
 
-    The input is read once: its normal forms are written to the shared folder, as is the
+    The texts are read once: the terms of each row are written to the shared folder, as is the
     vocabulary, whose exact size decides the way. A row without any term in common with the
     other side has 0.
     """
-    texts = written(normalised(df).select(key, "_pred", "_ref"))
+    texts = normalised(df).select(key, counted_terms(F.col("_pred"), F.col("_ref")).alias("_terms"))
+    return _term_cosine(written(texts), key, out, broadcast_terms)
+
+
+def _term_cosine(texts: DataFrame, key: str = KEY, out: str = "emb_sim", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """``tfidf_cosine`` of a written table (key, _terms)."""
+    entries = texts.select(key, F.explode("_terms").alias("e")).select(
+        key, term_key(F.col("e.term")).alias("term"), "e.n_left", "e.n_right")
     # A text counts once per term, and each pair of rows has two texts.
-    distinct = F.concat(*[F.array_distinct(vocabulary_terms(F.col(c))) for c in ("_pred", "_ref")])
-    vocabulary = written(texts.select(F.explode(distinct).alias("t")).select(
-        term_key(F.col("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    uses = texts.select("_terms").mapInArrow(term_uses, "term string, n long")
+    vocabulary = written(uses.groupBy(term_key(F.col("term")).alias("term")).agg(F.sum("n").alias("df")))
     n_terms, n_uses = vocabulary.agg(F.count(F.lit(1)), F.sum("df")).first()
     n_texts = 2 * texts.count()
     weighted = vocabulary.select(
@@ -67,22 +74,15 @@ def tfidf_cosine(
     threshold = 0.0 if n_terms <= broadcast_terms else n_uses / broadcast_terms
     frequent = F.broadcast(weighted.where(F.col("df") >= threshold).drop("df"))
 
-    def terms(rows):
-        bag = F.explode(term_bag(F.col("_pred"), F.col("_ref"))).alias("e")
-        return rows.select(key, bag).select(
-            key, term_key(F.col("e.term")).alias("term"), "e.on_right", "e.n", "e.n_left")
-
     square = F.col("idf") * F.col("idf")
-    own = F.col("n") * F.col("n") * square
-    products = [(F.col("n_left") * F.col("n") * square).alias("lr"),
-                F.when(F.col("on_right"), 0.0).otherwise(own).alias("ll"),
-                F.when(F.col("on_right"), own).otherwise(0.0).alias("rr")]
+    products = [(F.col(a) * F.col(b) * square).alias(c) for c, a, b in (
+        ("lr", "n_left", "n_right"), ("ll", "n_left", "n_left"), ("rr", "n_right", "n_right"))]
     # The entries of one row are still together, so the sums shrink to one record per row
     # before the shuffle.
-    parts = terms(texts).join(frequent, "term").select(key, *products)
+    parts = entries.join(frequent, "term").select(key, *products)
     if n_terms > broadcast_terms:
         rare = weighted.where(F.col("df") < threshold).drop("df")
-        parts = parts.unionAll(terms(texts).join(frequent, "term", "left_anti").join(rare, "term").select(key, *products))
+        parts = parts.unionAll(entries.join(frequent, "term", "left_anti").join(rare, "term").select(key, *products))
     sums = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("lr", "ll", "rr")])
     norm = F.sqrt(F.col("ll") * F.col("rr"))
     return texts.select(key).join(sums, key, "left").select(
@@ -98,23 +98,26 @@ def score_pairs(
     """All metrics of one model's predictions.
 
     Exact match, token and BLEU scores never leave their row. The similarity is the TF-IDF
-    cosine, joined by ``row_idx``, or the cosine of two supplied embedding columns.
+    cosine, joined by ``row_idx``, or the cosine of two supplied embedding columns. For the former
+    the scores and the terms of each row are written once, so the texts are read once.
     """
     kept = [c for c in detail if c in df.columns]
-    scored = normalised(df).withColumn("bleu", bleu(F.col("_pred"), F.col("_ref"))).withColumns({
-        "model": F.lit(label),
-        "exact_match": exact_match(F.col("_pred"), F.col("_ref")),
-        "codebleu": F.col("bleu"),
-        "_tokens": token_prf(F.col("_pred"), F.col("_ref")),
-    }).withColumns({
-        "token_prec": F.col("_tokens.p"), "token_recall": F.col("_tokens.r"),
-        "token_f1": F.col("_tokens.f1"),
-    })
-    if vectors is None:
-        # One narrow record per row on the hashed side, so the texts need not be sorted.
-        scored = scored.join(tfidf_cosine(df).hint("shuffle_hash"), KEY)
-    else:
-        scored = scored.withColumn("emb_sim", vector_cosine(*map(F.col, vectors)))
     filled = [F.coalesce(c, F.lit("")).alias(c) if c in (PRED, TRUTH) else F.col(c) for c in kept]
-    return scored.select(*filled, "model", "exact_match", "bleu", "codebleu", "emb_sim",
+    texts, by_vector = normalised(df), vectors is not None
+    if by_vector:
+        texts = texts.withColumns({"bleu": bleu(F.col("_pred"), F.col("_ref")), "_prf": token_prf(F.col("_pred"), F.col("_ref"))})
+        extra = [vector_cosine(*map(F.col, vectors)).alias("emb_sim")]
+    else:
+        texts = texts.withColumn("_all", text_measures(F.col("_pred"), F.col("_ref"))).withColumns({
+            "bleu": F.col("_all.bleu"), "_prf": counted_prf(F.col("_all"))})
+        extra = [F.col("_all.terms").alias("_terms"), F.col(KEY).alias("_key")]
+    scored = texts.select(
+        *filled, F.lit(label).alias("model"), exact_match(F.col("_pred"), F.col("_ref")).alias("exact_match"),
+        "bleu", F.col("bleu").alias("codebleu"), F.col("_prf.p").alias("token_prec"),
+        F.col("_prf.r").alias("token_recall"), F.col("_prf.f1").alias("token_f1"), *extra)
+    if not by_vector:
+        scored = written(scored)
+        # One narrow record per row on the hashed side, so the texts need not be sorted.
+        scored = scored.join(_term_cosine(scored.select("_key", "_terms"), "_key").hint("shuffle_hash"), "_key")
+    return scored.select(*kept, "model", "exact_match", "bleu", "codebleu", "emb_sim",
                          "token_prec", "token_recall", "token_f1")

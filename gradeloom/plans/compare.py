@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from gradeloom.constants import BASE, FINETUNED
 from gradeloom.operators import distributions as D
 from gradeloom.operators import reports as R
 from gradeloom.operators.joins import attach_ground_truth, attach_ground_truth_by_position, union_models
-from gradeloom.operators.scoring import score_pairs
+from gradeloom.operators.scoring import DETAIL, score_pairs
 from gradeloom.sources.sinks import write_detail_csv
 from gradeloom.sources.splits import reference_texts
 
 DISTRIBUTION_METRICS = ("bleu", "codebleu", "emb_sim", "token_f1")
 
 
-def score_models(base: DataFrame, finetuned: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+def score_models(
+    base: DataFrame, finetuned: DataFrame, truth: DataFrame | None = None, detail: Sequence[str] = DETAIL,
+) -> DataFrame:
     """Metric detail of both models, against the authoritative truth when given.
 
     A truth table without ids is matched by position, and so are predictions without ids.
     """
     if truth is not None:
         base, finetuned = (_with_truth(p, truth) for p in (base, finetuned))
-    return union_models(score_pairs(base, BASE).drop("model"),
-                        score_pairs(finetuned, FINETUNED).drop("model"))
+    return union_models(score_pairs(base, BASE, detail=detail).drop("model"),
+                        score_pairs(finetuned, FINETUNED, detail=detail).drop("model"))
 
 
 def _with_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:

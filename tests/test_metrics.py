@@ -10,7 +10,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from gradeloom.functions import ngrams
+from gradeloom.functions.similarity import counted_terms, metric_tokens, vocabulary_terms
 from gradeloom.operators import scoring as S
 
 TEXTS = [
@@ -97,6 +100,34 @@ def test_packed_grams_are_counted_with_repeats(monkeypatch):
     assert ngrams.bleu_of_batch(pred[:0], ref[:0]).to_pylist() == []
 
 
+def test_words_are_cut_as_whole_texts_are(evaluate):
+    """Tokens and terms made word by word, against the rules run over the whole text."""
+    rng = random.Random(7)
+    pieces = ["a", "bc", "3", "0", ".", ",", "-", "&amp;", "&lt;", "&quot;", "<skipped>", "<", ";", "é", "ß_", "²", "日本", "'", " ", " "]
+    texts = [" ".join("".join(rng.choices(pieces, k=rng.randint(0, 25))).split()) for _ in range(400)] + ["", "<empty>", "a"]
+    rows = list(zip(texts, texts[::-1]))
+    tokens = evaluate("p string, r string", rows, F.struct(metric_tokens(F.col("p")), vocabulary_terms(F.col("p"))))
+    coded = ngrams.Coded.split(pa.array(texts, pa.large_string()), pa.array([""] * len(texts), pa.large_string()))
+    made = coded.replaced(ngrams._tokens_of)
+    got = [[] for _ in texts]
+    for i, code in zip(made.row, made.codes):
+        got[i].append(made.values[code].as_py())
+    assert got == [list(t[0]) for t in tokens]
+    terms = {x: Counter(t[1]) for x, t in zip(texts, tokens)}
+    bags = evaluate("p string, r string", rows, counted_terms(F.col("p"), F.col("r")))
+    for (p, r), bag in zip(rows, bags):
+        assert {e.term: (e.n_left, e.n_right) for e in bag} == {t: (terms[p][t], terms[r][t]) for t in terms[p] | terms[r]}
+        assert len(bag) == len({e.term for e in bag})
+
+
+def test_texts_are_scored_in_one_pass(spark, monkeypatch):
+    """The texts are normalised once per model, not once for the scores and once for TF-IDF."""
+    calls = []
+    monkeypatch.setattr(S, "normalised", lambda df, real=S.normalised: calls.append(1) or real(df))
+    S.score_pairs(frame(spark, TEXTS), "base")
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("broadcast_terms", [1_000_000, 3])
 def test_tfidf_matches_the_formula(spark, broadcast_terms):
     got = column(S.tfidf_cosine(frame(spark, TEXTS), broadcast_terms=broadcast_terms), "emb_sim")
