@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -53,6 +54,45 @@ def test_windows_with_colliding_words_are_kept(documents):
     assert (out[2].n_removed, out[3].n_removed) == (0, 13) and bytes(out[2].kept).decode() == f"{rest} {two}"
 
 
+def test_texts_are_cut_in_groups_as_one_by_one(monkeypatch):
+    """Segments and kept words of a group equal those of its texts alone; words are hashed once a group."""
+    rng = np.random.default_rng(8)
+    blanks = np.array([" ", " ", " ", "\n", "  ", "\t \r\n"])
+    texts = ["", " ", "a", " " + "b " * 12, "b " * 13]
+    for n in (3, 12, 13, 14, 40, 200):
+        words_of = [w[:rng.integers(1, 50)] for w in rng.choice(["é\0x" * 12, "word" * 12, "0123456789" * 5, "\0" * 9], n)]
+        texts.append("".join(b + w for b, w in zip(rng.choice(blanks, n), words_of, strict=True)))
+    raw = [t.encode() for t in texts]
+    calls = []
+    monkeypatch.setattr(fm_dedup, "joined_hashes", lambda x: calls.append(x) or words.joined_hashes(x))
+    found = fm_dedup._cut(raw)
+    assert len(calls) == 1
+    ids = fm_dedup.segment_ids(found.hashes, found.begin, found.size + 12).tolist()
+    got = list(zip(found.owner.tolist(), found.key.tolist(), found.at.tolist(), found.size.tolist(), ids, strict=True))
+    alone = [(i, fm_dedup._cut([t])) for i, t in enumerate(raw)]
+    assert got == [
+        (i, k, a, n, s) for i, x in alone if x for k, a, n, s in zip(
+            x.key.tolist(), x.at.tolist(), x.size.tolist(),
+            fm_dedup.segment_ids(x.hashes, x.begin, x.size + 12).tolist(), strict=True)]
+    hashes, first = words.joined_hashes(raw)
+    names: dict[bytes, int] = {}
+    for i, t in enumerate(raw):
+        split = t.split()
+        assert len(split) == first[i + 1] - first[i]
+        assert all(names.setdefault(w, h) == h for w, h in zip(split, hashes[first[i]:].tolist(), strict=False))
+    assert len(set(names.values())) == len(names) > 60
+    spans = pa.array([[{"at": 3, "lost": 0b101}] if len(t.split()) > 30 else None for t in raw],
+                     pa.list_(pa.struct([("at", pa.int32()), ("lost", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(texts), spans], ["doc_id", "text", "spans"])
+    for size in (1, 1 << 19):
+        monkeypatch.setattr(fm_dedup, "GROUP_BYTES", size)
+        kept = [r for b in fm_dedup._kept_words(batch) for r in b.to_pylist()]
+        expected = [[w for j, w in enumerate(t.split()) if len(t.split()) <= 30 or not 3 <= j < 18] for t in raw]
+        assert [r["kept"] for r in kept] == [b" ".join(x) for x in expected]
+        assert [(r["n_words"], r["n_removed"]) for r in kept] == [
+            (len(t.split()), len(t.split()) - len(x)) for t, x in zip(raw, expected, strict=True)]
+
+
 def test_minima_are_the_rightmost():
     values = np.random.default_rng(4).integers(0, 2**64, 300, dtype=np.uint64)
     values[::3] = values[0]
