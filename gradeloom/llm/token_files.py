@@ -39,24 +39,53 @@ COLUMN_BYTES = 1 << 22
 WORDS, PIECES = 100_000, 50_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN = re.compile(r"[\n\r\t!-~\u00a1-\u024f]*")
+_SPACE = np.array([i < 128 and chr(i).isspace() for i in range(256)], np.uint8)
+# Marks a word that follows a line's end; texts with this character are left to the tokenizer.
+LINE = "\x01"
+_LETTERS = string.ascii_letters + "".join(c for c in map(chr, range(0xa1, 0x250)) if c.isalpha())
+# Without the character 0, which parts pieces.
+_PLAIN = re.compile(r"[\x01-\x7f\u00a1-\u024f]*")
 
 RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, bits binary, marks binary"
 
 
 class _Tables:
-    """Ids of words, in a recent and an older generation of at most ``WORDS`` each, and of pieces.
+    """Ids of at most ``2 * WORDS`` words, as Arrow columns, and of pieces.
 
-    Words in use move on to the recent generation, so rare ones do not push out frequent ones. A
-    word that stands once in its column of texts is not kept.
+    Words that were not met since the last time the table was full make room, so rare ones do not
+    push out frequent ones. A word that stands once in its column of texts is not kept.
     """
 
     def __init__(self):
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids = _lists([])
+        self.met = np.zeros(0, bool)
         self.pieces: dict[str, bytes] = {}
 
+    def places(self, words: pa.LargeStringArray, times: np.ndarray) -> np.ndarray:
+        """Where the table has each word, -1 if nowhere; those that come again count as met."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().copy()
+        self.met[at[(at >= 0) & (times > 1)]] = True
+        return at
+
+    def keep(self, words: pa.LargeStringArray, ids: pa.ListArray) -> None:
+        """Add words that the table does not have."""
+        if len(self.words) + len(words) > 2 * WORDS:
+            left = pa.array(np.flatnonzero(self.met)[-WORDS:])
+            self.words, self.ids = self.words.take(left), self.ids.take(left)
+            self.met = np.zeros(len(left), bool)
+            words, ids = words[:WORDS], ids[:WORDS]
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        self.met = np.append(self.met, np.ones(len(words), bool))
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Lists of the ids that stand in each value."""
+    bounds = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) >> 2, out=bounds[1:])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+
 
 def _kept_here(path: str) -> _Tables:
     """Tables that stay in the worker process for its next tasks.
@@ -73,11 +102,12 @@ class Encoder:
     """Token ids of texts, with the ids of words seen before kept in a bounded table.
 
     Byte-level BPE splits a text by a fixed pattern and encodes the pieces alone. The pattern
-    always splits before a blank between two other characters that are not white space, so
-    the words between blanks are encoded alone as well, and new ones piece by piece: once per
-    column of texts, whose distinct words Arrow finds. Texts with other white space around
-    blanks, where pieces do not split at every blank, or with a special token, words with characters on whose
-    kind libraries may differ, and other kinds of tokenizers are left to the tokenizer.
+    always splits before a blank between two other characters that are not white space, and around
+    a single line's end between such characters, so the words between them are encoded alone as
+    well, and new ones piece by piece: once per column of texts, whose distinct words Arrow finds.
+    Texts with other white space around blanks, where pieces do not split at every blank, with a
+    special token or the mark of a line's end, words with characters on whose kind libraries may
+    differ, and other kinds of tokenizers are left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -99,50 +129,51 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def split(self, word: str) -> tuple[str, ...] | list[str]:
-        """The pieces of a blank and a word."""
-        if word.isalpha():
-            return (" " + word,)
-        core = word.rstrip(string.punctuation)
-        # Letters are one piece, and so are the marks after them.
-        return (" " + core, word[len(core):]) if core.isalpha() else self.pattern.findall(" " + word)
-
-    def merged(self, pieces: list[str]) -> list[bytes]:
+    def merged(self, pieces: list[str]) -> pa.ListArray:
         """Ids of pieces, written in the model's letters; between them stands a character that no piece has."""
         letters = "\0".join(pieces).encode().decode("latin-1").translate(self.letters | {0: " "})
-        return [array("I", [t.id for t in self.merge(p)]).tobytes() for p in letters.split(" ")]
-
-    def new_words(self, words: list[str]) -> list[bytes]:
-        """Ids of a blank and each word."""
-        split = [self.split(w) if w.isascii() or _PLAIN.fullmatch(w) else None for w in words]
+        flat, sizes = array("I"), [0]
+        for piece in letters.split(" ") if pieces else []:
+            flat.extend([t.id for t in self.merge(piece)])
+            sizes.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(flat, np.uint32)))
+
+    def new_words(self, words: pa.LargeStringArray) -> pa.ListArray:
+        """Ids of a blank, or a line's end, and each word. Words of letters and marks after them are two pieces each."""
+        core = pc.ascii_rtrim(words, characters=string.punctuation)
+        rest = pc.utf8_ltrim(words, characters=LINE + _LETTERS)
+        two = pc.and_(pc.equal(pc.ascii_ltrim(rest, characters=string.punctuation), ""),
+                      pc.greater(pc.binary_length(pc.ascii_ltrim(core, characters=LINE)), 0))
+        others = words.filter(pc.invert(two)).to_pylist()
+        core = core.filter(two).dictionary_encode()
+        marks = rest.filter(two).dictionary_encode()
+        names = core.dictionary.to_pylist()
+        entries = pa.concat_arrays([
+            self.merged(["\n"]), _lists([b""]), self.merged([c[1:] if c[0] == LINE else " " + c for c in names]),
+            self.merged(marks.dictionary.to_pylist())])
+        begins = np.fromiter((c[0] != LINE for c in names), np.int64, len(names))
+        at = core.indices.to_numpy()
+        parts = np.stack([begins[at], 2 + at, 2 + len(names) + marks.indices.to_numpy()], axis=1)
+        both = entries.take(pa.array(parts.ravel()))
+        both = pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::3]), both.values)
+        order = np.argsort(np.argsort(~two.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([both, _lists(self.other_words(others))]).take(pa.array(order))
+
+    def other_words(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank, or a line's end, and each word, whatever its characters."""
+        words = ["\n" + w[1:] if w[:1] == LINE else " " + w for w in words]
+        split = [self.pattern.findall(w) if _PLAIN.fullmatch(w) else None for w in words]
         known = self.tables.pieces
         found = {p: known.get(p) for pieces in split if pieces for p in pieces}
         new = [p for p, ids in found.items() if ids is None]
-        if new:
-            found.update(zip(new, self.merged(new), strict=True))
+        found.update((p, np.array(ids, np.uint32).tobytes()) for p, ids in zip(new, self.merged(new).to_pylist(), strict=True))
         # Pieces without a blank are few and come again; those with one are words.
         known.update((p, found[p]) for p in new if p[0] != " ")
         if len(known) > PIECES:
             known.clear()
-        return [self.whole(" " + w).tobytes() if pieces is None else b"".join(map(found.__getitem__, pieces))
+        return [self.whole(w).tobytes() if pieces is None else b"".join(map(found.__getitem__, pieces))
                 for w, pieces in zip(words, split, strict=True)]
 
-    def words(self, words: list[str], times: list[int]) -> list[bytes]:
-        """Ids of a blank and each word that stands somewhere; those that come again are kept."""
-        tables = self.tables
-        got = list(map(tables.recent.get, words))
-        for i in [i for i, ids in enumerate(got) if ids is None]:
-            got[i] = tables.older.get(words[i])
-        new = [i for i, ids in enumerate(got) if ids is None and times[i]]
-        for i, ids in zip(new, self.new_words([words[i] for i in new]), strict=True):
-            got[i] = ids
-        for word, n, ids in zip(words, times, got, strict=True):
-            if n > 1:
-                if len(tables.recent) >= WORDS:
-                    tables.older, tables.recent = tables.recent, {}
-                tables.recent[word] = ids
-        return [ids or b"" for ids in got]
-
     def __call__(self, text: str) -> np.ndarray:
         return self.column(pa.array([text]))[0]
 
@@ -159,36 +190,53 @@ class Encoder:
             gc.enable()
 
     def _by_words(self, texts: pa.StringArray) -> list[np.ndarray]:
-        split = pc.split_pattern(texts, " ")
+        # A line's end between two plain characters is a piece; the word behind it is marked.
+        split = pc.split_pattern(pc.replace_substring_regex(texts, "([!-~])\n([!-~])", rf"\1 {LINE}\2"), " ")
         ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         at = coded.indices.to_numpy().copy()
         starts, lasts = ends[:-1], ends[1:] - 1
         first = coded.dictionary.take(pa.array(at[starts])).to_pylist()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = coded.dictionary.cast(pa.large_string())
         left = self._loose(words, at, starts, lasts)
-        for special in self.special:
+        for special in [*self.special, LINE]:
             left |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         # A text's first word has no blank before it, so its ids are an entry of their own. In texts
         # left to the tokenizer that entry holds all ids, and the other words none.
         none = len(words)
         at[np.repeat(left, np.diff(ends))] = none
         at[starts] = none + 1 + np.arange(len(texts), dtype=np.int32)
-        times = np.bincount(at, minlength=none)[:none].tolist()
-        ids = self.words(words, times)
-        ids.append(b"")
-        ids += [self.whole(texts[i].as_py() if whole else first[i]).tobytes() for i, whole in enumerate(left.tolist())]
-        bounds = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)) >> 2, out=bounds[1:])
-        entries = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
-        taken = entries.take(pa.array(at))
+        times = np.bincount(at, minlength=none)[:none]
+        known = self.tables.ids
+        place = self.tables.places(words, times)
+        # Ids of each word that stands somewhere; new ones that come again are kept.
+        new = np.flatnonzero((place < 0) & (times > 0))
+        names = words.take(pa.array(new))
+        ids = self.new_words(names)
+        place[new] = len(known) + np.arange(len(new))
+        again = pa.array(np.flatnonzero(times[new] > 1))
+        self.tables.keep(names.take(again), ids.take(again))
+        whole = [b""] + [
+            self.whole(texts[i].as_py() if loose else first[i]).tobytes() for i, loose in enumerate(left.tolist())]
+        entries = pa.concat_arrays([known, ids, _lists(whole)])
+        place = np.append(place, np.arange(len(entries) - len(whole), len(entries), dtype=np.int32))
+        taken = entries.take(pa.array(place[at]))
         values, cuts = taken.flatten().to_numpy(), taken.offsets.to_numpy()[ends]
         return np.split(values, cuts[1:-1])
 
     @staticmethod
-    def _loose(words: list[str], at: np.ndarray, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    def _loose(words: pa.LargeStringArray, at: np.ndarray, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
         """Which texts have a blank next to other white space, by their words' ends."""
-        flags = np.fromiter(((w[0].isspace() | w[-1].isspace() << 1) if w else 4 for w in words), np.uint8, len(words))
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        flags = np.full(len(words), 4, np.uint8)
+        some = np.flatnonzero(ends[1:] > ends[:-1])
+        low, high = data[ends[some]], data[ends[some + 1] - 1]
+        flags[some] = _SPACE[low] | _SPACE[high] << 1
+        # Characters beyond ASCII are looked at one by one.
+        wide = some[(low > 127) | (high > 127)]
+        for i, w in zip(wide.tolist(), words.take(pa.array(wide)).to_pylist(), strict=True):
+            flags[i] = w[0].isspace() | w[-1].isspace() << 1
         if not flags.any():
             return np.zeros(len(starts), bool)
         found = flags[at]

@@ -3,11 +3,13 @@
 import hashlib
 import json
 import re
+import sys
+import types
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_windows_with_colliding_words_are_kept(documents):
     assert (out[2].n_removed, out[3].n_removed) == (0, 13) and bytes(out[2].kept).decode() == f"{rest} {two}"
 
 
+def test_words_are_encoded_by_columns(monkeypatch):
+    """Ids equal the tokenizer's; only words of unusual characters are split one by one."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setitem(sys.modules, "_token_tables", types.ModuleType("_token_tables"))
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [*"abZst.,!019\n\t\0\x01\x1c\x85\xa0éß中", *[" "] * 9, "'s", "the", "don't", "a\nb\nc", "é\nx", "1\n2.", "\n\n", "line.\nLine"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(1500)] + ["", " ", "<|endoftext|> a b", "a b "]
+    for size in (100_000, 40, 40):
+        monkeypatch.setattr(token_files, "WORDS", size)
+        for i in range(0, len(texts), 300):
+            got = encoder.column(pa.array([*texts[i:i + 300], None]))
+            expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts[i:i + 300], ""]]
+            assert [x.tolist() for x in got] == expected
+            assert len(encoder.tables.words) == len(encoder.tables.ids) == len(encoder.tables.met) <= 2 * size or size > 40
+    singly = []
+    monkeypatch.setattr(token_files.Encoder, "other_words", lambda self, x: singly.extend(x) or [b""] * len(x))
+    fresh = ["newword, Überwort.\nZweite zeile\nendet&& so", "c3 newword"]
+    monkeypatch.setitem(sys.modules, "_token_tables", types.ModuleType("_token_tables"))
+    token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json")).column(pa.array(fresh))
+    assert singly == []
+
+
 def test_texts_are_cut_in_groups_as_one_by_one(monkeypatch):
     """Segments and kept words of a group equal those of its texts alone; words are hashed once a group."""
     rng = np.random.default_rng(8)
