@@ -386,20 +386,23 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The coded bits, most significant first, and the bit offset of every STEP-th token."""
-    size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
+    size = lengths.astype(np.int32)[ids]
+    end = np.cumsum(size, dtype=np.int64)
     start = end - size
     n_bytes = (int(end[-1]) + 7) // 8 if len(ids) else 0
     out = np.zeros(n_bytes + 3, np.uint8)
-    value = codes[ids].astype(np.int64) << (24 - (start & 7) - size)
+    # A code and the bits before it in its byte take 23 bits at most.
+    value = codes.astype(np.int32)[ids] << (24 - (start & 7).astype(np.int32) - size)
     at = start >> 3
     # Codes do not share bits, so sums are unions; codes that start in one byte are summed first.
-    first = np.flatnonzero(np.diff(at, prepend=-1))
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1]
+    first = np.flatnonzero(fresh)
     if len(first):
         total, at = np.add.reduceat(value, first), at[first]
         for k, shift in enumerate((16, 8, 0)):
             # A byte stands once in ``at``, so plain addition by index is enough.
-            out[at + k] += ((total >> shift) & 255).astype(np.uint8)
+            out[at + k] += (total >> shift).astype(np.uint8)
     return out[:n_bytes].tobytes(), start[::STEP]
 
 
