@@ -40,13 +40,16 @@ WORDS, PIECES = 100_000, 50_000
 # The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = np.array([i < 128 and chr(i).isspace() for i in range(256)], np.uint8)
+# Bytes that white space beyond ASCII starts with, all of it in the basic plane.
+_SPACE_LEADS = np.isin(np.arange(256), [chr(i).encode()[0] for i in range(128, 0xd800) if chr(i).isspace()])
 # Marks a word that follows a line's end; texts with this character are left to the tokenizer.
 LINE = "\x01"
 _LETTERS = string.ascii_letters + "".join(c for c in map(chr, range(0xa1, 0x250)) if c.isalpha())
 # Without the character 0, which parts pieces.
 _PLAIN = re.compile(r"[\x01-\x7f\u00a1-\u024f]*")
 
-RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, ids binary"
+# The last block of a partition has the partition's distinct ids, followed by how often each stands there.
+RAW = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, ids binary, counts binary"
 BLOCKS = "part int, block int, first long, doc_ids binary, lengths binary, n_tokens long, bits binary, marks binary"
 
 
@@ -80,6 +83,14 @@ class _Tables:
         self.met = np.append(self.met, np.ones(len(words), bool))
 
 
+def _joined(words: pa.LargeStringArray) -> str:
+    """All words, each followed by the character 0."""
+    if not len(words):
+        return ""
+    row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(row, pa.scalar("\0", pa.large_string()))[0].as_py() + "\0"
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     """Lists of the ids that stand in each value."""
     bounds = np.zeros(len(ids) + 1, np.int32)
@@ -87,17 +98,6 @@ def _lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
 
 
-def _kept_here(path: str) -> _Tables:
-    """Tables that stay in the worker process for its next tasks.
-
-    Tasks that encode nothing any more let them go.
-    """
-    holder = sys.modules.setdefault("_token_tables", types.ModuleType("_token_tables"))
-    if path not in holder.__dict__:
-        holder.__dict__[path] = _Tables()
-    return holder.__dict__[path]
-
-
 class Encoder:
     """Token ids of texts, with the ids of words seen before kept in a bounded table.
 
@@ -122,21 +122,24 @@ class Encoder:
             and before.get("use_regex") and not before.get("add_prefix_space") and about["normalizer"] is None)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.tables, self.merge = _kept_here(path), self.tokenizer.model.tokenize
+        self.letters = np.zeros(256, "<u2")
+        self.letters[plain], self.letters[rest] = plain, 256 + np.arange(len(rest))
+        self.letters[0] = ord(" ")
+        self.tables, self.merge = _Tables(), self.tokenizer.model.tokenize
         self.pattern = regex.compile(PATTERN)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def merged(self, pieces: list[str]) -> pa.ListArray:
-        """Ids of pieces, written in the model's letters; between them stands a character that no piece has."""
-        letters = "\0".join(pieces).encode().decode("latin-1").translate(self.letters | {0: " "})
-        flat, sizes = array("I"), [0]
-        for piece in letters.split(" ") if pieces else []:
+    def merged(self, pieces: str) -> pa.ListArray:
+        """Ids of pieces, written in the model's letters. Each ends with the character 0, which no piece has."""
+        letters = self.letters[np.frombuffer(pieces.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        flat, sizes = array("I"), array("i", [0])
+        for piece in letters.split(" ")[:-1]:
             flat.extend([t.id for t in self.merge(piece)])
             sizes.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(flat, np.uint32)))
+        return pa.ListArray.from_arrays(
+            pa.array(np.frombuffer(sizes, np.int32)), pa.array(np.frombuffer(flat, np.uint32)))
 
     def new_words(self, words: pa.LargeStringArray) -> pa.ListArray:
         """Ids of a blank, or a line's end, and each word. Words of letters and marks after them are two pieces each."""
@@ -147,16 +150,18 @@ class Encoder:
         others = words.filter(pc.invert(two)).to_pylist()
         core = core.filter(two).dictionary_encode()
         marks = rest.filter(two).dictionary_encode()
-        names = core.dictionary.to_pylist()
+        names = core.dictionary
+        begins = pc.invert(pc.starts_with(names, LINE)).to_numpy(zero_copy_only=False).astype(np.int64)
+        # A blank before each name, except where a mark stands.
+        blanks = ("\0" + _joined(names)).replace("\0", "\0 ").replace(" " + LINE, "")[1:-1]
         entries = pa.concat_arrays([
-            self.merged(["\n"]), _lists([b""]), self.merged([c[1:] if c[0] == LINE else " " + c for c in names]),
-            self.merged(marks.dictionary.to_pylist())])
-        begins = np.fromiter((c[0] != LINE for c in names), np.int64, len(names))
+            self.merged("\n\0"), _lists([b""]), self.merged(blanks), self.merged(_joined(marks.dictionary))])
         at = core.indices.to_numpy()
         parts = np.stack([begins[at], 2 + at, 2 + len(names) + marks.indices.to_numpy()], axis=1)
         both = entries.take(pa.array(parts.ravel()))
         both = pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::3]), both.values)
-        order = np.argsort(np.argsort(~two.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        two = two.to_numpy(zero_copy_only=False)
+        order = np.where(two, np.cumsum(two) - 1, len(at) + np.cumsum(~two) - 1)
         return pa.concat_arrays([both, _lists(self.other_words(others))]).take(pa.array(order))
 
     def other_words(self, words: list[str]) -> list[bytes]:
@@ -166,7 +171,8 @@ class Encoder:
         known = self.tables.pieces
         found = {p: known.get(p) for pieces in split if pieces for p in pieces}
         new = [p for p, ids in found.items() if ids is None]
-        found.update((p, np.array(ids, np.uint32).tobytes()) for p, ids in zip(new, self.merged(new).to_pylist(), strict=True))
+        merged = self.merged("".join(p + "\0" for p in new)).to_pylist()
+        found.update((p, np.array(ids, np.uint32).tobytes()) for p, ids in zip(new, merged, strict=True))
         # Pieces without a blank are few and come again; those with one are words.
         known.update((p, found[p]) for p in new if p[0] != " ")
         if len(known) > PIECES:
@@ -233,8 +239,10 @@ class Encoder:
         some = np.flatnonzero(ends[1:] > ends[:-1])
         low, high = data[ends[some]], data[ends[some + 1] - 1]
         flags[some] = _SPACE[low] | _SPACE[high] << 1
-        # Characters beyond ASCII are looked at one by one.
-        wide = some[(low > 127) | (high > 127)]
+        # Characters that may be white space beyond ASCII, of two or three bytes, are looked at one by one.
+        last = ends[some + 1]
+        wide = some[_SPACE_LEADS[low] | (high > 127) & (
+            _SPACE_LEADS[data[np.maximum(last - 2, 0)]] | _SPACE_LEADS[data[np.maximum(last - 3, 0)]])]
         for i, w in zip(wide.tolist(), words.take(pa.array(wide)).to_pylist(), strict=True):
             flags[i] = w[0].isspace() | w[-1].isspace() << 1
         if not flags.any():
@@ -245,6 +253,17 @@ class Encoder:
         return np.bitwise_or.reduceat(found, starts) > 0
 
 
+def kept_encoder(path: str) -> Encoder:
+    """An encoder that stays in the worker process, with its tables, for the next tasks.
+
+    Reading the tokenizer takes as long as encoding 2 MB. Tasks that encode nothing any more let it go.
+    """
+    holder = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
+    if path not in holder.__dict__:
+        holder.__dict__[path] = Encoder(path)
+    return holder.__dict__[path]
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in ascending doc_id order over the partitions.
 
@@ -271,17 +290,25 @@ def raw_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, encode = TaskContext.get().partitionId(), encoder()
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         block, first, ids, docs_in = 0, 0, [], []
+        counts = np.zeros(0, np.int64)
 
-        def close() -> pa.RecordBatch:
+        def close(last: bool = False) -> pa.RecordBatch:
+            nonlocal counts
             tokens = np.concatenate(ids)
+            found = np.bincount(tokens)
+            if len(found) > len(counts):
+                counts = np.append(counts, np.zeros(len(found) - len(counts), np.int64))
+            counts[:len(found)] += found
+            seen = np.flatnonzero(counts) if last else None
             row = [part, block, first, np.array(docs_in, "<i8").tobytes(),
-                   np.array([len(x) for x in ids], "<i8").tobytes(), len(tokens), _packed(tokens, squeeze)]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+                   np.array([len(x) for x in ids], "<i8").tobytes(), len(tokens), _packed(tokens, squeeze),
+                   np.stack([seen, counts[seen]]).astype("<i8").tobytes() if last else None]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, types, strict=True)],
-                ["part", "block", "first", "doc_ids", "lengths", "n_tokens", "ids"])
+                ["part", "block", "first", "doc_ids", "lengths", "n_tokens", "ids", "counts"])
 
         size = 0
         for rows in (rows for batch in batches for rows in _slices(batch)):
@@ -294,7 +321,7 @@ def raw_blocks(
                 docs_in.append(-2**63 if doc is None else doc)
                 size += len(got)
         if ids:
-            yield close()
+            yield close(last=True)
     return _ordered(docs).mapInArrow(run, RAW)
 
 
@@ -314,16 +341,12 @@ def _plain(packed: bytes) -> np.ndarray:
 def id_counts(raw: DataFrame) -> DataFrame:
     """(id, n) over all blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for z in batch.column("ids"):
-                found = np.bincount(_plain(z.as_py()))
-                if len(found) > len(total):
-                    total = np.append(total, np.zeros(len(found) - len(total), np.int64))
-                total[:len(found)] += found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-    return raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for counts in batch.column("counts"):
+                at, n = np.frombuffer(counts.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["id", "n"])
+    last = raw.where("counts is not null").select("counts")
+    return last.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -374,51 +397,61 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every MAX_BITS-bit string: the id it starts with, and that id's code length."""
+def decoding_table(lengths: np.ndarray) -> np.ndarray:
+    """For every MAX_BITS-bit string: the id it starts with, above five bits with that id's code length."""
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
     share = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    ids = np.zeros(1 << MAX_BITS, np.uint32)
+    ids = np.zeros(1 << MAX_BITS, np.int64)
     ids[:share.sum()] = np.repeat(order, share)
-    return ids, lengths[ids].astype(np.int64)
+    return ids << 5 | lengths[ids]
 
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The coded bits, most significant first, and the bit offset of every STEP-th token."""
-    size = lengths.astype(np.int32)[ids]
-    end = np.cumsum(size, dtype=np.int64)
+    # Four codes are joined, by twos, to one of at most 64 bits; the last may be joined to empty ones.
+    at = np.full(len(ids) + -len(ids) % 4, len(lengths), np.intp)
+    at[:len(ids)] = ids
+    coded = np.append(codes.astype(np.uint32) << 5 | lengths.astype(np.uint32), np.uint32(0))[at]
+    size, code = coded & 31, coded >> 5
+    code, size = code[::2] << size[1::2] | code[1::2], size[::2] + size[1::2]
+    code = code[::2].astype(np.uint64) << size[1::2].astype(np.uint64) | code[1::2]
+    size = (size[::2] + size[1::2]).astype(np.int64)
+    end = np.cumsum(size)
     start = end - size
-    n_bytes = (int(end[-1]) + 7) // 8 if len(ids) else 0
-    out = np.zeros(n_bytes + 3, np.uint8)
-    # A code and the bits before it in its byte take 23 bits at most.
-    value = codes.astype(np.int32)[ids] << (24 - (start & 7).astype(np.int32) - size)
-    at = start >> 3
-    # Codes do not share bits, so sums are unions; codes that start in one byte are summed first.
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = at[1:] != at[:-1]
-    first = np.flatnonzero(fresh)
-    if len(first):
-        total, at = np.add.reduceat(value, first), at[first]
-        for k, shift in enumerate((16, 8, 0)):
-            # A byte stands once in ``at``, so plain addition by index is enough.
-            out[at + k] += (total >> shift).astype(np.uint8)
-    return out[:n_bytes].tobytes(), start[::STEP]
-
-
-def decode_bits(bits: bytes, marks: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    n_bits = int(end[-1]) if len(end) else 0
+    # Bits go to words of 64. A joined code that crosses a word's end, the last to start there, goes on in the next.
+    out = np.zeros(n_bits // 64 + 2, np.uint64)
+    if len(end):
+        code <<= (64 - size).astype(np.uint64)
+        word, within = start >> 6, (start & 63).astype(np.uint64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        # Codes do not share bits, so unions take them together.
+        out[word[first]] = np.bitwise_or.reduceat(code >> within, first)
+        over = np.flatnonzero((start & 63) + size > 64)
+        out[word[over] + 1] |= code[over] << (np.uint64(64) - within[over])
+    return out.astype(">u8").tobytes()[:(n_bits + 7) // 8], start[::STEP // 4]
+
+
+def decode_bits(bits: bytes, marks: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """All ids of a block. The stretches between marks are decoded side by side."""
-    ids, size = table
     data = np.append(np.frombuffer(bits, np.uint8), np.zeros(3, np.uint8)).astype(np.int64)
     look = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    out = np.zeros((STEP, len(marks)), np.uint32)
+    out = np.zeros((STEP, len(marks)), np.int64)
     at = marks.copy()
-    last = len(look) - 1
+    peek, shift = np.empty_like(at), np.empty_like(at)
     for k in range(STEP):
-        peek = (look[np.minimum(at >> 3, last)] >> (24 - MAX_BITS - (at & 7))) & ((1 << MAX_BITS) - 1)
-        out[k] = ids[peek]
-        at += size[peek]
-    return out.T.ravel()[:n]
+        # The last stretch may end early; what is looked up behind it is cut off below.
+        np.right_shift(at, 3, out=peek)
+        look.take(peek, out=shift, mode="clip")
+        np.bitwise_and(at, 7, out=peek)
+        np.subtract(24 - MAX_BITS, peek, out=peek)
+        np.right_shift(shift, peek, out=peek)
+        np.bitwise_and(peek, (1 << MAX_BITS) - 1, out=peek)
+        table.take(peek, out=out[k], mode="clip")
+        np.bitwise_and(out[k], 31, out=shift)
+        at += shift
+    return (out.T.ravel()[:n] >> 5).astype(np.uint32)
 
 
 @dataclass
@@ -438,7 +471,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     gives an empty file.
     """
     spark = docs.sparkSession
-    raw = stored(raw_blocks(docs, lambda: Encoder(tokenizer_path).column, end_id))
+    raw = stored(raw_blocks(docs, lambda: kept_encoder(tokenizer_path).column, end_id))
     return _write(spark, raw, path)
 
 
@@ -459,14 +492,14 @@ def _write(spark: SparkSession, raw: DataFrame, path: str) -> TokenFile:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, codes = shared.value
-        sys.modules.pop("_token_tables", None)
+        sys.modules.pop("_token_encoders", None)
         for batch in batches:
             for i in range(len(batch)):
                 bits, marks = encode_bits(_plain(batch.column("ids")[i].as_py()), size, codes)
                 row = batch.slice(i, 1).drop_columns(["ids"])
                 yield row.append_column("bits", pa.array([bits], pa.binary())).append_column(
                     "marks", pa.array([marks.astype("<i8").tobytes()], pa.binary()))
-    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(file.blocks)
+    raw.drop("counts").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(file.blocks)
     return file
 
 
@@ -490,7 +523,7 @@ def _read(spark: SparkSession, file: TokenFile, column: str, kind: pa.DataType,
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.modules.pop("_token_tables", None)
+        sys.modules.pop("_token_encoders", None)
         for batch in batches:
             for i in range(len(batch)):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import shutil
 import sys
 import types
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,6 +292,61 @@ def test_sketches_of_any_bound(monkeypatch):
         assert (order_minhash.sketches(text) == sketch).all()
 
 
+def test_white_space_beyond_ascii_beside_blanks():
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+    texts = [t for c in [*spaces, "é", "£", "“", "中", "あ", "\U0001f600"]
+             for t in (f"a {c}b c", f"ab{c} c", f"b {c} {c}a", f"{c} a", f"a {c}", f"é{c} 中{c} b")]
+    got = encoder.column(pa.array([*texts, "", None]))
+    assert [x.tolist() for x in got] == [encoder.whole(t).tolist() for t in [*texts, "", ""]]
+
+
+def test_tasks_of_a_worker_share_an_encoder(monkeypatch, tmp_path):
+    """The tokenizer is read once; another file has its own encoder and tables."""
+    from tokenizers import Tokenizer
+
+    path, read = public_tokenizers.path("byte_bpe_50k.json"), []
+    copy = shutil.copy(path, tmp_path / "copy.json")
+    monkeypatch.setitem(sys.modules, "_token_encoders", types.ModuleType("_token_encoders"))
+    monkeypatch.setattr("tokenizers.Tokenizer", types.SimpleNamespace(
+        from_file=lambda p: read.append(p) or Tokenizer.from_file(p)))
+    texts = pa.array(["some words some words", "more words", None])
+    found = [[x.tolist() for x in token_files.kept_encoder(p).column(texts)] for p in (path, path, str(copy), path)]
+    assert read == [path, str(copy)] and found == found[:1] * 4
+    assert token_files.kept_encoder(path).tables is not token_files.kept_encoder(str(copy)).tables
+
+
+def test_ids_are_counted_where_they_are_encoded(spark, documents, monkeypatch):
+    """Counts come with the blocks of a partition, whose ids are not read again."""
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 4)
+    lists = {"a": [7, 7, 1], "b": [70_000, 1], "c": [7, 3, 3, 3, 3, 3], "": []}
+    column = lambda texts: [np.array(lists[t], np.uint32) for t in pc.fill_null(texts, "").to_pylist()]
+    docs = documents([(i, t) for i, t in enumerate(["a", "b", "c", "", None, "b", "a", "a"])])
+    raw = token_files.stored(token_files.raw_blocks(docs, lambda: column, 2))
+    counts = token_files.id_counts(raw)
+    assert raw.count() > raw.select("part").distinct().count() == raw.where("counts is not null").count()
+    assert {r.id: r.n for r in counts.collect()} == {1: 5, 2: 8, 3: 5, 7: 7, 70_000: 2}
+    assert "ids:binary" not in counts._jdf.queryExecution().toString()
+    nothing = token_files.stored(token_files.raw_blocks(docs.limit(0), lambda: column, 2))
+    assert token_files.id_counts(nothing).count() == 0
+
+
+def test_bits_of_codes_of_all_lengths():
+    """As written one by one; codes of 1 to 16 bits, cut at any number of tokens."""
+    rng = np.random.default_rng(8)
+    for counts in (1 << np.arange(40), np.ones(1 << 16, np.int64), np.array([0, 0, 5]), rng.integers(0, 9, 3000)):
+        lengths = token_files.code_lengths(counts.astype(np.int64))
+        codes, table = token_files.canonical(lengths), token_files.decoding_table(lengths)
+        for n in (0, 1, 2, 3, 4, 5, 63, 255, 256, 257, 1030, 5000):
+            ids = rng.choice(np.flatnonzero(lengths), n).astype(np.uint16)
+            bits, marks = token_files.encode_bits(ids, lengths, codes)
+            plain = "".join(f"{codes[i]:0{lengths[i]}b}" for i in ids.tolist())
+            assert bits == bytes(int(plain[k:k + 8].ljust(8, "0"), 2) for k in range(0, len(plain), 8))
+            ends = np.append(0, np.cumsum(lengths[ids], dtype=np.int64))
+            assert marks.tolist() == ends[:n:token_files.STEP].tolist()
+            assert n == 0 or (token_files.decode_bits(bits, marks, n, table) == ids).all()
+
+
 def _huffman_cost(counts):
     heap, cost = sorted(c for c in counts.tolist() if c), 0
     while len(heap) > 1:
